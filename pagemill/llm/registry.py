@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import suffix_dedup
+from pagemill.llm import line_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +20,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("kept_text", "spans")
 
 
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_suffix_array_dedup": op1}
+    return {"op1_suffix_array_dedup": op1, "op6_line_dedup": op6}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_line_dedup": line_dedup.ORACLE_SQL}

@@ -120,3 +120,19 @@ def bits(flags: np.ndarray) -> bytes:
 
 def unbits(payload: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(payload, np.uint8), count=n).astype(bool)
+
+
+def echo(got: dict) -> Messages:
+    """All answers so far, sent by a block to itself for the rounds to come."""
+    parts = [np.array([k, b, len(p)], "<i8").tobytes() + p for k, by in got.items() for b, p in by.items()]
+    return [(ECHO, 0, b"".join(parts))]
+
+
+def unecho(got: dict) -> dict:
+    out = {k: dict(v) for k, v in got.items() if k}
+    blob, at = got.get(0, {}).get(ECHO, b""), 0
+    while at < len(blob):
+        kind, bucket, size = np.frombuffer(blob, "<i8", 3, at).tolist()
+        out.setdefault(kind, {})[bucket] = blob[at + 24 : at + 24 + size]
+        at += 24 + size
+    return out

@@ -261,26 +261,6 @@ class _Block:
         return out
 
 
-def _echo(got: dict) -> rounds.Messages:
-    """All answers so far, sent to itself for the next round."""
-    out = []
-    for kind, by in got.items():
-        for bucket, payload in by.items():
-            out.append((kind, bucket, payload))
-    blob = b"".join(np.array([k, b, len(p)], "<i8").tobytes() + p for k, b, p in out)
-    return [(rounds.ECHO, 0, blob)]
-
-
-def _unecho(got: dict) -> dict:
-    out = {k: dict(v) for k, v in got.items() if k}
-    blob, at = got.get(0, {}).get(rounds.ECHO, b""), 0
-    while at < len(blob):
-        kind, bucket, size = np.frombuffer(blob, "<i8", 3, at).tolist()
-        out.setdefault(kind, {})[bucket] = blob[at + 24 : at + 24 + size]
-        at += 24 + size
-    return {1: {}, 2: {}, 3: {}} | out
-
-
 def _result(block: _Block, length: int, texts: bool) -> pa.Table:
     runs = block.runs
     marks: list[list[tuple[int, int]]] = [[] for _ in block.texts]
@@ -328,15 +308,15 @@ def dedup_substrings(docs: DataFrame, length: int = 50, block_bytes: int = round
         return [(k, 1, b.keys[at].astype(np.uint32).tobytes()) for k, at in rounds.split_sorted((b.keys >> _U(32)).astype(np.int64))]
 
     def runs(table: pa.Table, got: dict) -> rounds.Messages:
-        b = _Block(table, got := _unecho(got), length, n, 2)
-        return [*((k, 2, b.items[at].tobytes()) for k, at in rounds.split_sorted(b.item_bucket)), *_echo(got)]
+        b = _Block(table, got := {1: {}, 2: {}, 3: {}} | rounds.unecho(got), length, n, 2)
+        return [*((k, 2, b.items[at].tobytes()) for k, at in rounds.split_sorted(b.item_bucket)), *rounds.echo(got)]
 
     def windows(table: pa.Table, got: dict) -> rounds.Messages:
-        b = _Block(table, got := _unecho(got), length, n, 3)
-        return [*((k, 3, b.w_items[at].tobytes()) for k, at in rounds.split_sorted(b.w_bucket)), *_echo(got)]
+        b = _Block(table, got := {1: {}, 2: {}, 3: {}} | rounds.unecho(got), length, n, 3)
+        return [*((k, 3, b.w_items[at].tobytes()) for k, at in rounds.split_sorted(b.w_bucket)), *rounds.echo(got)]
 
     def result(table: pa.Table, got: dict) -> pa.Table:
-        return _result(_Block(table, _unecho(got), length, n, 4), length, texts)
+        return _result(_Block(table, {1: {}, 2: {}, 3: {}} | rounds.unecho(got), length, n, 4), length, texts)
 
     got = rounds.answer(rounds.send(blocks, None, anchors), _shared)
     got = rounds.answer(rounds.send(blocks, got, runs), _runs_answer)
