@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import line_dedup, simhash_dedup, suffix_dedup
+from pagemill.llm import decontaminate, line_dedup, simhash_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("kept_text", "spans")
 
 
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.drop("item_ids", "hit_spans")
+
+
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
@@ -29,7 +34,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_suffix_array_dedup": op1, "op6_line_dedup": op6, "op10_simhash_near_dedup": op10}
+    return {"op1_suffix_array_dedup": op1, "op3_benchmark_decontamination": op3, "op6_line_dedup": op6, "op10_simhash_near_dedup": op10}
 
 
 def oracle_sql() -> dict[str, str]:
