@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, line_dedup, simhash_dedup, suffix_dedup
+from pagemill.llm import decontaminate, line_dedup, quality, simhash_dedup, suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -29,12 +29,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_suffix_array_dedup": op1, "op3_benchmark_decontamination": op3, "op6_line_dedup": op6, "op10_simhash_near_dedup": op10}
+    return {"op1_suffix_array_dedup": op1, "op3_benchmark_decontamination": op3, "op6_line_dedup": op6, "op9_quality_classifier": op9, "op10_simhash_near_dedup": op10}
 
 
 def oracle_sql() -> dict[str, str]:
