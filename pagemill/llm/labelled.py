@@ -33,3 +33,8 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMP
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where(F.length("text") <= SAMPLE_CHARS).join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r.doc_id)
     return [r.text.encode() for r in rows], [r.y for r in rows]
+
+
+def share(labels: DataFrame, label: str) -> float | None:
+    """The share of label 1 among the labelled rows that are not held out."""
+    return labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).agg(F.avg(F.col(label).cast("double"))).first()[0]
