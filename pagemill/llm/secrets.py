@@ -90,8 +90,12 @@ def train(texts: list[str]) -> Markov:
         # Words as they stand, joined as in identifiers, and runs of digits such as dates and numbers.
         found = [w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,}", t) if not (len(w) >= MIN_CHARS and any(c.isdigit() for c in w) and any(c.isalpha() for c in w))]
         ordinary.update(found)
-        ordinary.update(f"{a}_{b}" for a, b in zip(found[::7], found[3::7], strict=False))
-        ordinary.update(f"{a.lower()}{b.capitalize()}" for a, b in zip(found[::11], found[5::11], strict=False))
+        triples = list(zip(found[::7], found[3::7], found[5::7], strict=False))
+        ordinary.update("_".join(x) for x in triples)
+        ordinary.update("_".join(x).upper() for x in triples)
+        ordinary.update("/".join(x).lower() for x in triples)
+        ordinary.update("-".join(x).lower() for x in triples)
+        ordinary.update(f"{a.lower()}{b.capitalize()}{c.capitalize()}" for a, b, c in triples)
     return Markov(strange, sorted(ordinary))
 
 
