@@ -96,6 +96,9 @@ def train(texts: list[str]) -> Markov:
         ordinary.update("/".join(x).lower() for x in triples)
         ordinary.update("-".join(x).lower() for x in triples)
         ordinary.update(f"{a.lower()}{b.capitalize()}{c.capitalize()}" for a, b, c in triples)
+    for _ in range(RANDOM // 2):  # plain numbers and dates are ordinary too
+        ordinary.add("".join(draw.choices(string.digits, k=draw.randint(2, 20))))
+        ordinary.add(f"{draw.randint(1970, 2039)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}T{draw.randint(0, 23):02}-{draw.randint(0, 59):02}-{draw.randint(0, 59):02}")
     return Markov(strange, sorted(ordinary))
 
 

@@ -81,6 +81,44 @@ class Vocabulary:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
+class Pairs:
+    """Which neighbouring pieces stay as they are: an open-addressing table in numpy."""
+
+    SLOTS = 1 << 21
+
+    def __init__(self):
+        self.keys, self.values, self.n = np.full(self.SLOTS, -1, np.int64), np.zeros(self.SLOTS, bool), 0
+
+    @staticmethod
+    def _slot(keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(43)).astype(np.int64)
+
+    def stay(self, a: np.ndarray, b: np.ndarray, test) -> np.ndarray:
+        keys = a << 20 | b
+        out, slot, left = np.zeros(len(keys), bool), self._slot(keys), np.arange(len(keys))
+        missing = []
+        while len(left):
+            there = self.keys[slot[left]]
+            hit = there == keys[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            missing.append(left[there == -1])
+            left = left[~hit & (there != -1)]
+            slot[left] = (slot[left] + 1) % self.SLOTS
+        new = np.concatenate(missing) if missing else left
+        if len(new):
+            fresh, back = np.unique(keys[new], return_inverse=True)
+            if self.n + len(fresh) > PAIRS:
+                self.__init__()
+            said = np.array([test(k >> 20, k & 0xFFFFF) for k in fresh.tolist()], bool)
+            for k, v, at in zip(fresh.tolist(), said.tolist(), self._slot(fresh).tolist(), strict=True):
+                while self.keys[at] != -1:
+                    at = (at + 1) % self.SLOTS
+                self.keys[at], self.values[at] = k, v
+            self.n += len(fresh)
+            out[new] = said[back]
+        return out
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -96,8 +134,9 @@ class Encoder:
         self.raw, self.ids = [r for r, _ in raw], np.array([i for _, i in raw], np.int64)
         self.size = np.array([len(r) for r in self.raw], np.int64)
         self.low, self.high = (self._keys([r.ljust(_DEPTH, fill)[:_DEPTH] for r in self.raw]) for fill in (b"\0", b"\xff"))
-        self.byte_size = {int(i): int(s) for i, s in zip(self.ids, self.size, strict=True)}
-        self.pairs: dict[int, bool] = {}
+        self.size_of = np.zeros(len(vocabulary.pieces), np.int64)
+        self.size_of[self.ids] = self.size
+        self.pairs = Pairs()
         self.known: dict[str, list[int]] = {}  # segments
         self.words: dict[str, list[int]] = {}  # what stands between spaces
 
@@ -126,8 +165,8 @@ class Encoder:
         """Do two neighbouring pieces stay as they are?"""
         return self._merged(self.v.pieces[a] + self.v.pieces[b]) == [a, b]
 
-    def _edges(self, data: bytes) -> tuple[list[int], list[int]]:
-        """(place, piece) of all occurrences, sorted by place."""
+    def _edges(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(place, piece) of all occurrences."""
         n = len(data)
         padded = np.frombuffer(data + bytes(_DEPTH), np.uint8)
         words = np.ndarray(n + _DEPTH - 7, ">u8", padded, 0, (1,)).astype(np.uint64)
@@ -148,42 +187,47 @@ class Encoder:
         if len(long):
             wrong = [j for j in long.tolist() if not data.startswith(self.raw[piece[j]], int(place[j]))]
             place, piece = np.delete(place, wrong), np.delete(piece, wrong)
-        order = np.argsort(place, kind="stable")
-        return place[order].tolist(), self.ids[piece[order]].tolist()
+        return place, self.ids[piece]
 
     def _relaxed(self, segments: list[str]) -> None:
-        """Encode segments together and remember them."""
+        """Encode segments together and remember them.
+
+        All segments advance in step: edges are sorted by their place in the
+        segment, and those of one place are relaxed at once.
+        """
         raw = [s.encode() for s in segments]
         data = b"\n".join(raw)
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        ends = np.cumsum(size + 1) - 1
+        starts = ends - size
         place, piece = self._edges(data)
-        place.append(len(data) + 1)
-        pairs, size = self.pairs, self.byte_size
-        e = at = 0
-        for segment, text in zip(segments, raw, strict=True):
-            end = at + len(text)
-            by: dict[int, int] = {at: -1}  # place -> the piece that leads to it
-            while place[e] < end:
-                p, t = place[e], piece[e]
-                e += 1
-                before = by.get(p)
-                if before is None:
-                    continue
-                if before >= 0:
-                    key = before << 20 | t
-                    stay = pairs.get(key)
-                    if stay is None:
-                        if len(pairs) >= PAIRS:
-                            pairs.clear()
-                        stay = pairs[key] = self._stay(before, t)
-                    if not stay:
-                        continue
-                by[p + size[t]] = t
-            out, p = [], end
-            while p > at and p in by:
-                out.append(by[p])
-                p -= size[by[p]]
-            self.known[segment] = out[::-1] if p == at else self._merged(segment)
-            at = end + 1
+        offset = place - np.repeat(starts, size + 1)[place]
+        order = np.argsort(offset.astype(np.uint16) if size.max() < 1 << 16 else offset, kind="stable")
+        place, piece, offset = place[order], piece[order], offset[order]
+        to = place + self.size_of[piece]
+        led = np.full(len(data) + 1, -2, np.int64)  # the piece that leads to a place; -1 at a start, -2 where none does
+        led[starts] = -1
+        cuts = np.flatnonzero(np.diff(offset)) + 1
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(place)], strict=True):
+            before, t = led[place[i:j]], piece[i:j]
+            good = before == -1
+            ask = np.flatnonzero(before >= 0)
+            good[ask] = self.pairs.stay(before[ask], t[ask], self._stay)
+            led[to[i:j][good]] = t[good]
+        at, owner, found = ends.copy(), np.arange(len(raw)), []
+        failed = np.zeros(len(raw), bool)
+        while len(at):
+            t = led[at]
+            failed[owner[t == -2]] = True
+            live = t >= 0
+            at, owner, t = at[live], owner[live], t[live]
+            at = at - self.size_of[t]
+            found.append((at, owner, t))
+        at, owner, t = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(at, kind="stable")
+        t, cut = t[order].tolist(), np.cumsum(np.bincount(owner, minlength=len(raw))).tolist()
+        for i, (s, bad) in enumerate(zip(segments, failed.tolist(), strict=True)):
+            self.known[s] = self._merged(s) if bad else t[cut[i - 1] if i else 0 : cut[i]]
 
     def _learn(self, segments: list[str]) -> None:
         """Encode the segments that are not known yet."""
