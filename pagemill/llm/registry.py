@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, line_dedup, quality, secrets, sentencepieces, simhash_dedup, suffix_dedup, toxicity
+from pagemill.llm import decontaminate, fingerprints, line_dedup, quality, secrets, sentencepieces, simhash_dedup, suffix_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, min_chars=1).drop("kept_text")
 
 
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(_table(spark, sf_dir, "documents"))
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_suffix_array_dedup": op1, "op3_benchmark_decontamination": op3, "op4_toxicity": op4, "op5_sentencepiece": op5, "op6_line_dedup": op6, "op8_secret_scans": op8, "op9_quality_classifier": op9, "op10_simhash_near_dedup": op10}
+    return {"op1_suffix_array_dedup": op1, "op3_benchmark_decontamination": op3, "op4_toxicity": op4, "op5_sentencepiece": op5, "op6_line_dedup": op6, "op7_document_fingerprints": op7, "op8_secret_scans": op8, "op9_quality_classifier": op9, "op10_simhash_near_dedup": op10}
 
 
 def oracle_sql() -> dict[str, str]:
