@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagemill.llm import decontaminate, fingerprints, line_dedup, quality, secrets, sentencepieces, simhash_dedup, suffix_dedup, toxicity
+from pagemill.llm import decontaminate, fingerprints, line_dedup, quality, secrets, sentencepieces, simhash_dedup, suffix_dedup, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.drop("kept_text", "spans")
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return out.drop("item_ids", "hit_spans")
@@ -54,8 +58,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_suffix_array_dedup": op1, "op3_benchmark_decontamination": op3, "op4_toxicity": op4, "op5_sentencepiece": op5, "op6_line_dedup": op6, "op7_document_fingerprints": op7, "op8_secret_scans": op8, "op9_quality_classifier": op9, "op10_simhash_near_dedup": op10}
+    return {"op1_suffix_array_dedup": op1, "op2_warc": op2, "op3_benchmark_decontamination": op3, "op4_toxicity": op4, "op5_sentencepiece": op5, "op6_line_dedup": op6, "op7_document_fingerprints": op7, "op8_secret_scans": op8, "op9_quality_classifier": op9, "op10_simhash_near_dedup": op10}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op2_warc": warc.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
