@@ -35,7 +35,6 @@ SHINGLE = 5
 SIEVE = 1 << 22  # slots of the table that turns most shingles away
 _WORD = np.zeros(256, bool)
 _WORD[np.r_[0x30:0x3A, 0x61:0x7B, 0x80:0x100]] = True
-_STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<long>"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.int64()))])
 
@@ -165,9 +164,10 @@ def _search(index: Index):
                     doc = int(w.doc[start])
                     at = start - int(w.first[doc])
                     hits[a + doc] += [at, at + size]
-                    items[a + doc] = sorted({*items[a + doc], *index.block.items[x]})
-            hits = [_merged(h) for h in hits]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], schema=_STATE)
+                    items[a + doc] += index.block.items[x]
+            hits, items = [_merged(h) for h in hits], [sorted(set(x)) for x in items]
+            found = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *found], ["row", "text", "n_words", "hits", "items"])
 
     return run
 
@@ -182,29 +182,54 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: its words, those inside occurrences of item windows, and the items found.
-
-    ``contaminated``: at least one word is hit and ``share`` times the hit words
-    are at least all words.  ``hit_spans`` holds starts and ends in words.
-    """
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
+    """row (all columns but text, and whether text was null), text, n_words, hits and items."""
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    row = F.struct(F.col("text").isNull().alias("text was null"), *(c for c in docs.columns if c != "text"))
+    state = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
     for i in range(n_blocks):
         block = windows_of([tuple(r) for r in bench.where(part == i).collect()], window)  # of block_bytes
         index = Index(block, _counted(docs, block) if block.text else {})
-        state = state.mapInArrow(_search(index), "doc_id long, text string, n_words long, hits array<long>, items array<string>")
+        state = state.mapInArrow(_search(index), state.schema)
+    return state
+
+
+def _contaminated(batch: pa.RecordBatch, share: int) -> tuple[list[int], list[bool]]:
+    hits, n = batch.column("hits").to_pylist(), batch.column("n_words").to_pylist()
+    n_hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
+    return n_hit, [h > 0 and share * h >= k for h, k in zip(n_hit, n, strict=True)]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: its words, those inside occurrences of item windows, and the items found.
+
+    ``contaminated``: at least one word is hit and ``share`` times the hit words
+    are at least all words.  ``hit_spans`` holds starts and ends in words.
+    """
+    state = _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, block_bytes)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hits, items, n = (batch.column(c).to_pylist() for c in ("hits", "items", "n_words"))
-            n_hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
+            n_hit, bad = _contaminated(batch, share)
+            items = batch.column("items").to_pylist()
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            bad = [h > 0 and share * h >= k for h, k in zip(n_hit, n, strict=True)]
-            cols = [batch.column("doc_id"), n, n_hit, [len(x) for x in items], digest, bad, items, hits]
+            cols = [batch.column("row").field("doc_id"), batch.column("n_words"), n_hit, [len(x) for x in items], digest, bad, batch.column("items"), batch.column("hits")]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
     return state.mapInArrow(last, SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns."""
+    state = _searched(docs, benchmark, window, block_bytes)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([not b for b in _contaminated(batch, share)[1]], pa.bool_()))
+
+    kept = state.mapInArrow(keep, state.schema)
+    text = F.when(~F.col("row.`text was null`"), F.col("text"))
+    return kept.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

@@ -28,13 +28,15 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from pagemill.llm import rounds
 
 _U = np.uint64
 STRIP = b" \t\n\x0b\x0c\r"
 PROBES, BITS_PER_KEY = 4, 16
-SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_sha256 string, kept_text string"
+FIELDS = [("doc_id", LongType()), ("n_lines", LongType()), ("n_dropped", LongType()), ("kept_sha256", StringType()), ("kept_text", StringType()), ("was_null", BooleanType())]
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
 
 
@@ -135,11 +137,17 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: s
 
     Returns doc_id, n_lines, n_dropped, kept_sha256, kept_text.
     """
+    return _rows(docs, min_docs, min_chars, mode, block_bytes, extra=[]).drop("was_null")
+
+
+def _rows(docs: DataFrame, min_docs: int, min_chars: int, mode: str, block_bytes: int, extra: list[str]) -> DataFrame:
     if mode not in ("drop", "first"):
         raise ValueError(f"no such mode: {mode}")
     least = max(1, min_docs)
     n = rounds.count_blocks(docs, block_bytes)
-    blocks = rounds.in_blocks(docs, n)
+    blocks = rounds.in_blocks(docs, n, extra)
+    carried = docs.select(extra).schema if extra else StructType()
+    schema = StructType([*(StructField(k, t) for k, t in FIELDS), *carried.fields])
     often = least if least <= 2 else 2  # a block's own repeats are suspects at once
 
     def hashes(table: pa.Table, _: dict) -> rounds.Messages:
@@ -171,11 +179,21 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: s
             left = b"\n".join(kept)
             rows.append((None if none else i, len(lines), len(lines) - len(kept), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        return pa.table([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
+        out = pa.table([*(pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)), table.column("was_null")], names=[k for k, _ in FIELDS])
+        for c in extra:
+            out = out.append_column(c, table.column(f"x_{c}"))
+        return out
 
     got = rounds.answer(rounds.send(blocks, None, hashes), _suspects)
     got = rounds.answer(rounds.send(blocks, got, keys), _decide(least))
-    return rounds.finish(blocks, got, result, SCHEMA, lambda: _ARROW.empty_table())
+    return rounds.finish(blocks, got, result, schema)
+
+
+def rewritten(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: str = "drop", block_bytes: int = rounds.BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs`` with the lines kept as their text and its length as n_chars; other columns stay."""
+    kept = _rows(docs, min_docs, min_chars, mode, block_bytes, extra=[f for f in docs.columns if f not in ("doc_id", "text", "n_chars")])
+    text = F.when(F.col("was_null"), F.lit(None)).otherwise(F.col("kept_text"))
+    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 ORACLE_SQL = r"""

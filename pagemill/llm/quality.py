@@ -126,10 +126,25 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     return Model(w[:size], float(w[size]))
 
 
+def model(docs: DataFrame, labels: DataFrame) -> Model:
+    """The classifier fitted on the bounded sample."""
+    return fit(*labelled.sample(docs, labels, "quality"))
+
+
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score and predicted, of every row of documents."""
-    model = fit(*labelled.sample(docs, labels, "quality"))
-    return scored(docs, model.score, threshold)
+    return scored(docs, model(docs, labels).score, threshold)
+
+
+def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
+            yield batch.filter(pa.array(model.score(texts) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def scored(docs: DataFrame, score, threshold: float) -> DataFrame:

@@ -57,8 +57,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # at the top of the repository; it is deleted with this subpackage
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_suffix_array_dedup": op1, "op2_warc": op2, "op3_benchmark_decontamination": op3, "op4_toxicity": op4, "op5_sentencepiece": op5, "op6_line_dedup": op6, "op7_document_fingerprints": op7, "op8_secret_scans": op8, "op9_quality_classifier": op9, "op10_simhash_near_dedup": op10}
+    return {"op1_suffix_array_dedup": op1, "op2_warc": op2, "op3_benchmark_decontamination": op3, "op4_toxicity": op4, "op5_sentencepiece": op5, "op6_line_dedup": op6, "op7_document_fingerprints": op7, "op8_secret_scans": op8, "op9_quality_classifier": op9, "op10_simhash_near_dedup": op10, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

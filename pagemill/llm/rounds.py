@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK_BYTES = 8 << 20
 MESSAGE = "block int, bucket int, kind int, payload binary"
@@ -35,9 +36,11 @@ def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
     return max(16, -(-int(total) // block_bytes))
 
 
-def in_blocks(docs: DataFrame, n: int) -> DataFrame:
+def in_blocks(docs: DataFrame, n: int, extra: list[str] | None = None) -> DataFrame:
+    """block, doc_id, text (null as empty); with ``extra``, also was_null and those columns as x_name."""
     key = F.xxhash64(F.col("doc_id"), F.lit(7))
-    return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    more = [F.col("text").isNull().alias("was_null"), *(F.col(c).alias(f"x_{c}") for c in extra)] if extra is not None else []
+    return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 
 def rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -94,9 +97,9 @@ def answer(messages: DataFrame, fn: Callable[[list[bytes]], list[bytes]]) -> Dat
     return messages.withColumn("lane", spread).groupBy("bucket", "lane").applyInArrow(at, MESSAGE)
 
 
-def finish(blocks: DataFrame, received: DataFrame, fn: Callable[[pa.Table, dict], pa.Table], schema: str, empty: Callable[[], pa.Table]) -> DataFrame:
+def finish(blocks: DataFrame, received: DataFrame, fn: Callable[[pa.Table, dict], pa.Table], schema: str | StructType) -> DataFrame:
     def last(docs: pa.Table, messages: pa.Table) -> pa.Table:
-        return fn(docs, inbox(messages)) if docs.num_rows else empty()
+        return fn(docs, inbox(messages))  # every message answers a block that has documents
 
     return blocks.groupBy("block").cogroup(received.groupBy("block")).applyInArrow(last, schema)
 

@@ -282,13 +282,12 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at = batch.column("text").to_pylist(), 0
+            texts = batch.column("text").to_pylist()
             for a, b in _groups(texts):
                 ids = vocabulary.encode(texts[a:b])
                 offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
-                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if len(ids) else np.empty(0, np.int32)))
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(offsets)), column], ["doc_id", "n_pieces", "ids"])
-                at = b
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_pieces int, ids array<int>")
 
@@ -321,3 +320,22 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, REPORT)
+
+
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int32()), ("ids", pa.list_(pa.int32())), ("exact", pa.bool_())])
+
+
+def encoded_exactly(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_pieces, ids, and whether decoding the ids gives back the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = batch.column("text").to_pylist(), batch.column("doc_id")
+            for a, b in _groups(texts):
+                ids = vocabulary.encode(texts[a:b])
+                offsets = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+                column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
+                exact = pa.array([vocabulary.decode(x) == t for x, t in zip(ids, texts[a:b], strict=True)])
+                yield pa.RecordBatch.from_arrays([at.slice(a, b - a), pa.array(np.diff(offsets)), column, exact], schema=_ENCODED)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_pieces int, ids array<int>, exact boolean")

@@ -321,4 +321,4 @@ def dedup_substrings(docs: DataFrame, length: int = 50, block_bytes: int = round
     got = rounds.answer(rounds.send(blocks, None, anchors), _shared)
     got = rounds.answer(rounds.send(blocks, got, runs), _runs_answer)
     got = rounds.answer(rounds.send(blocks, got, windows), _windows_answer)
-    return rounds.finish(blocks, got, result, SCHEMA, lambda: _ARROW.empty_table())
+    return rounds.finish(blocks, got, result, SCHEMA)
