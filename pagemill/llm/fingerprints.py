@@ -70,12 +70,12 @@ def _terms(text: Column) -> Column:
 def fingerprints(rows: DataFrame, keys: list[str], texts: str = "texts") -> DataFrame:
     """keys, which, fp: of each text of the array column ``texts``; keys identify a row.
 
-    Texts without terms have no row here (their fingerprint is zero).
+    If rows are partitioned by some of the keys, nothing is shuffled.
     """
     each = rows.select(*keys, F.posexplode(texts).alias("which", "text"))
-    terms = each.select(*keys, "which", F.posexplode(_terms(F.col("text"))).alias("pos", "term")).where(F.col("term") != "")
-    size = F.length("term")
-    weight = F.when(size <= SHORT, 1).otherwise(F.least(size, F.lit(HEAVY)))
+    terms = each.select(*keys, "which", F.posexplode(_terms(F.col("text"))).alias("pos", "term"))
+    size = F.length("term")  # an empty term, as each text without terms has, weighs nothing
+    weight = F.when(size == 0, 0).when(size <= SHORT, 1).otherwise(F.least(size, F.lit(HEAVY)))
     votes = terms.select(*keys, "which", "pos", F.xxhash64("term").alias("h"), weight.cast("long").alias("w"))
     return _votes(votes, [*keys, "which"])
 
@@ -85,7 +85,7 @@ def _below(groups: DataFrame) -> DataFrame:
     n = groups.count()
     if n <= RANGE:
         return groups.select("g", F.lead("g").over(W.orderBy(F.desc("g"))).alias("next"))
-    up = groups.withColumn("up", F.floor(F.col("g") / RANGE).cast("long"))
+    up = groups.withColumn("up", F.shiftright("g", RANGE.bit_length() - 1))
     within = up.select("g", "up", F.lead("g").over(W.partitionBy("up").orderBy(F.desc("g"))).alias("lead"))
     heads = up.groupBy("up").agg(F.max("g").alias("head"))
     order = _below(heads.select(F.col("up").alias("g"))).join(heads.select(F.col("up").alias("next"), "head"), "next").select(F.col("g").alias("up"), "head")
@@ -95,22 +95,23 @@ def _below(groups: DataFrame) -> DataFrame:
 def edited(docs: DataFrame) -> DataFrame:
     """Each row with its place (g, rn), its text, the next row's key and its edited text."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("at", F.coalesce("doc_id", _long((1 << 63) - 1))).withColumn("tie", F.xxhash64("text"))
-    rows = rows.withColumn("g", F.floor(F.col("at") / RANGE).cast("long"))
-    order = W.partitionBy("g").orderBy(F.desc("at"), "tie")
-    fields = F.struct(F.col("text").alias("text"), F.col("at").alias("at"), F.col("tie").alias("tie"))
-    placed = rows.select("g", F.row_number().over(order).alias("rn"), "doc_id", "at", "tie", "text", F.lead(fields).over(order).alias("lead"))
+    rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("g", F.shiftright(F.coalesce("doc_id", _long((1 << 63) - 1)), RANGE.bit_length() - 1))
+    order = W.partitionBy("g").orderBy(F.desc_nulls_first("doc_id"), "tie")
+    # What follows reads this twice with the same columns, so that its exchange is made once.
+    lead = [F.lead(c).over(order).alias(f"then_{c}") for c in ("text", "doc_id", "tie")]
+    placed = rows.select("g", F.row_number().over(order).alias("rn"), "doc_id", "tie", "text", *lead, F.lead(F.lit(1)).over(order).isNull().alias("ends"), F.lag(F.lit(1)).over(order).isNull().alias("opens"))
     groups = rows.select("g").distinct().checkpoint()
     below = _below(groups)
     ends = groups.agg(F.min("g").alias("low"), F.max("g").alias("high")).first()
     below = below.select("g", F.coalesce("next", F.lit(ends.high)).alias("next"))  # after the last, the first
-    heads = placed.where("rn = 1").select(F.col("g").alias("next"), F.struct("text", "at", "tie").alias("head"))
-    after = below.join(heads, "next").select("g", "head")
-    both = placed.join(after, "g").withColumn("then", F.coalesce("lead", "head"))
+    heads = placed.where("opens").select(F.col("g").alias("next"), *(F.col(c).alias(f"head_{c}") for c in ("text", "doc_id", "tie")))
+    after = below.join(heads, "next").drop("next")
+    both = placed.join(after, "g")
+    then = {c: F.when(F.col("ends"), F.col(f"head_{c}")).otherwise(F.col(f"then_{c}")) for c in ("text", "doc_id", "tie")}
     n = F.length("text")
-    half = F.floor(n / 2).cast("int")
-    made = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("then.text"), F.lit(1), half))
-    return both.select("g", "rn", "doc_id", "at", "tie", F.col("then.at").alias("next_at"), F.col("then.tie").alias("next_tie"), "text", made.alias("edited"))
+    half = F.shiftright(n, 1)
+    made = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(then["text"], F.lit(1), half))
+    return both.select("g", "rn", "doc_id", "tie", then["doc_id"].alias("next_id"), then["tie"].alias("next_tie"), "text", made.alias("edited"))
 
 
 def _keys(fp: Column, radius: int) -> list[Column]:
@@ -150,16 +151,15 @@ def compare(docs: DataFrame, radius: int = 3, every: int = QUERIES) -> DataFrame
     """
     components.shared_folder(docs.sparkSession)
     pairs = edited(docs)
-    fps = fingerprints(pairs.select("g", "rn", F.array("text", "edited").alias("texts")), ["g", "rn"])
-    fps = fps.groupBy("g", "rn").agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp"))
-    facts = pairs.select("g", "rn", "doc_id", "at", "tie", "next_at", "next_tie", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
-    zero = _long(0)
-    known = facts.join(fps, ["g", "rn"], "left").select("doc_id", "at", "tie", "next_at", "next_tie", "n_chars", "edited_sha256", F.coalesce("fp", zero).alias("fp"), F.coalesce("efp", zero).alias("efp")).checkpoint()
-    after = known.groupBy(F.col("at").alias("next_at"), F.col("tie").alias("next_tie")).agg(F.min("fp").alias("nfp"))
+    facts = pairs.select("g", "rn", "doc_id", "tie", "next_id", "next_tie", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array("text", "edited").alias("texts"))
+    keys = facts.columns[:-1]
+    fps = fingerprints(facts, keys)
+    known = fps.groupBy(keys).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp")).drop("g", "rn").checkpoint()
+    after = known.groupBy(F.col("doc_id").alias("after_id"), F.col("tie").alias("next_tie")).agg(F.min("fp").alias("nfp"))
     count = known.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     asked = known.where(F.col("doc_id") % every == 0).select("fp").distinct()
     near = neighbours(asked, count, radius).join(count, "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("near_docs"))
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     like = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64.0
-    whole = known.join(after, ["next_at", "next_tie"]).join(near, "fp", "left")
+    whole = known.join(after, (known.next_tie == after.next_tie) & known.next_id.eqNullSafe(after.after_id)).join(near, "fp", "left")
     return whole.select("doc_id", "n_chars", "edited_sha256", digits("fp").alias("fingerprint"), digits("efp").alias("edited_fingerprint"), like("fp", "efp").cast("double").alias("near_edited"), like("fp", "nfp").cast("double").alias("near_next"), F.when(F.col("doc_id") % every == 0, F.col("near_docs")).alias("near_docs"))
