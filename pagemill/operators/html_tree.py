@@ -1,8 +1,8 @@
 """From HTML text to a tree, by the tree-construction rules of the HTML standard.
 
 The subset: implied html, head and body; optional end tags; reopened formatting
-elements with the adoption agency and the cap of three equal ones; anchors that
-close anchors; table content and foster parenting; raw text elements.  Entities
+elements with the adoption agency and the cap of three equal ones; table content and foster parenting; raw text elements.  Unlike a browser's, an anchor may hold an anchor, as in the
+source: Markdown can show it.  Entities
 that end in a semicolon are kept apart from the text around them, since the writer
 escapes text but not what stood as an entity.  Nothing here raises on any input.
 """
@@ -36,10 +36,11 @@ _BARE = re.compile(r"&[A-Za-z][A-Za-z0-9]*(?![A-Za-z0-9=;])")
 class Node:
     """An element; children are nodes and lists of pieces (a text)."""
 
-    __slots__ = ("attrs", "children", "parent", "tag")
+    __slots__ = ("attrs", "children", "explicit", "parent", "tag")
 
     def __init__(self, tag: str, attrs: dict[str, list[Piece]] | None = None):
         self.tag, self.attrs, self.children, self.parent = tag, attrs or {}, [], None
+        self.explicit = False  # ended by its own end tag
 
     def append(self, child: Node | list[Piece]) -> None:
         self.insert(len(self.children), child)
@@ -445,19 +446,6 @@ class Builder:
                     break
             self._close_p()
             self._element(tag, attrs)
-        elif tag == "a":
-            for node in reversed(self.active):
-                if node is None:
-                    break
-                if node.tag == "a":
-                    self._adopt("a")
-                    if node in self.active:
-                        self.active.remove(node)
-                    if node in self.open:
-                        self.open.remove(node)
-                    break
-            self._reopen()
-            self._format(self._element(tag, attrs))
         elif tag == "nobr":
             self._reopen()
             if self._in_scope({"nobr"}):
@@ -543,6 +531,7 @@ class Builder:
             if tag not in ("col",) and self._in_scope({tag}):
                 if self._in_scope({"td", "th"}):
                     self._close_cell()
+                next(n for n in reversed(self.open) if n.tag == tag).explicit = True
                 self._pop_to({tag})
             return
         if tag in RAW and self.open[-1].tag == tag:
@@ -594,7 +583,7 @@ def parse(source: str) -> Node:
     return b.root
 
 
-Event = tuple[str, str, object]  # ("start", tag, attributes), ("end", tag, None), ("text", "", pieces)
+Event = tuple[str, str, object]  # ("start", tag, attributes), ("end", tag, whether by its own tag), ("text", "", pieces)
 
 
 def events(root: Node) -> Iterator[Event]:
@@ -604,7 +593,7 @@ def events(root: Node) -> Iterator[Event]:
     while stack:
         node, i = stack.pop()
         if i == len(node.children):
-            yield "end", node.tag, None
+            yield "end", node.tag, node.explicit
             continue
         stack.append((node, i + 1))
         child = node.children[i]

@@ -177,13 +177,15 @@ class Writer:
         self.next_cell = self.first_row = False
         self.cells = 0
         self.emphasised = 0
+        self.explicit = True  # the end at hand has an end tag
 
     # -- events
 
     def start(self, tag: str, attrs: Attributes) -> None:
         self._element(tag, attrs, True)
 
-    def end(self, tag: str) -> None:
+    def end(self, tag: str, explicit: bool = True) -> None:
+        self.explicit = explicit
         self._element(tag, {}, False)
 
     def _element(self, tag: str, attrs: Attributes, opens: bool) -> None:
@@ -507,7 +509,8 @@ class Writer:
         elif tag == "tr":
             if opens:
                 self.cells = 0
-                return
+            if opens or not self.explicit:
+                return  # a row without an end tag runs on
             self.next_cell = False
             page.soft_line()
             if self.first_row:
@@ -622,7 +625,7 @@ def convert(source: str | None, options: Options = DEFAULTS) -> str | None:
         if kind == "text":
             w.text(more)
         elif kind == "end":
-            w.end(tag)
+            w.end(tag, more)
         else:
             w.start(tag, {k: _decoded(v, options) for k, v in more.items()})
     return _wrapped(w.finish(), options)
