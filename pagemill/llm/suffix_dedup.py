@@ -13,7 +13,7 @@ the names in three rounds, and what has become unique takes no part in the next:
 2. *runs*: the adjacent windows that share an anchor (at most 51).  The pair of
    the names of its first and last window, which overlap or touch, names all of
    a run's bytes.  A run that a smaller document has is removed whole.
-3. length 50: single windows, only from the first holder of a run whose anchor
+3. length 50: single windows, only of the first holder of a run whose anchor
    also has other runs, that is where copies begin, end or differ.
 
 Names take part once per block, whatever the number of copies (rounds.py).
@@ -229,7 +229,8 @@ class _Block:
         later = runs.id[s] > self.items["id"][self.group] if len(s) else np.empty(0, bool)
         self.removed = np.zeros(len(runs.at), bool)
         self.removed[s] = gone[self.group] | later if len(s) else False
-        self.split_runs = self.item_runs[~gone & ((code & 2) > 0)]
+        first = (runs.id[s] == self.items["id"][self.group]) & (~gone & ((code & 2) > 0))[self.group] if len(s) else np.empty(0, bool)
+        self.split_runs = s[first]  # all places of a run in its first holder, and in rows that tie with it
         self.w_run, name, check = runs.single(self.split_runs)
         wid = runs.id[self.w_run]
         order = np.lexsort((wid, check, name))
