@@ -148,6 +148,15 @@ class Builder:
                 return False
         return False
 
+    def _in_table(self, *tags: str) -> bool:
+        """Is one of the tags open since the innermost table (or the table itself)?"""
+        for node in reversed(self.open):
+            if node.tag in tags:
+                return True
+            if node.tag in ("html", "table", "template"):
+                return False
+        return False
+
     def _pop_to(self, tags: frozenset[str] | set[str]) -> None:
         while len(self.open) > 1:
             if self.open.pop().tag in tags:
@@ -387,7 +396,7 @@ class Builder:
 
     def _table(self, tag: str, attrs: dict) -> bool:
         """Start tags that belong to tables; False if it is for the body."""
-        inside = self._in_scope({"table"})
+        inside = self._in_table("table")
         if tag == "table":
             if self.open[-1].tag in ("table", "tbody", "tfoot", "thead", "tr"):
                 self._pop_to({"table"})
@@ -395,12 +404,12 @@ class Builder:
         if tag not in TABLE_PARTS:
             return False
         if not inside:
-            return not self._in_scope({"td", "th", "caption"}) or True  # ignored outside a table
-        if self._in_scope({"caption"}):
+            return True  # ignored outside a table
+        if self._in_table("caption"):
             self._imply()
             self._pop_to({"caption"})
             self._unmark()
-        if self._in_scope({"td", "th"}):
+        if self._in_table("td", "th"):
             self._close_cell()
         if tag in ("caption", "colgroup", "col") or tag in SECTIONS:
             self._clear_to({"table", "html", "template"} | ({"colgroup"} if tag == "col" else set()))
@@ -510,26 +519,20 @@ class Builder:
             self._element("br", push=False)
             return
         if tag == "table":
-            if self._in_scope({"table"}):
-                if self._in_scope({"td", "th"}):
+            if self._in_table("table"):
+                if self._in_table("td", "th"):
                     self._close_cell()
                 self._pop_to({"table"})
             return
-        if tag in ("td", "th"):
-            if self._in_scope({tag}):
-                self._imply()
-                self._pop_to({tag})
-                self._unmark()
-            return
-        if tag == "caption":
-            if self._in_scope({tag}):
+        if tag in ("td", "th", "caption"):
+            if self._in_table(tag):
                 self._imply()
                 self._pop_to({tag})
                 self._unmark()
             return
         if tag in TABLE_PARTS:
-            if tag not in ("col",) and self._in_scope({tag}):
-                if self._in_scope({"td", "th"}):
+            if tag != "col" and self._in_table(tag):
+                if self._in_table("td", "th"):
                     self._close_cell()
                 next(n for n in reversed(self.open) if n.tag == tag).explicit = True
                 self._pop_to({tag})

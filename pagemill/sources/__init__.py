@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def read_html_files(spark: SparkSession, path: str) -> DataFrame:
     """page_id (a hash of the path), url (the path) and html: a row per file."""
-    files = spark.read.option("wholetext", True).text(path).withColumn("url", F.col("_metadata.file_path"))
+    files = spark.read.text(path, wholetext=True).withColumn("url", F.col("_metadata.file_path"))
     return files.select(F.xxhash64("url").alias("page_id"), "url", F.col("value").alias("html"))
 
 
