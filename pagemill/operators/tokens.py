@@ -124,3 +124,96 @@ def styles(pages: DataFrame) -> DataFrame:
     css = tokens(pages).where("kind = 'raw' and tag = 'style'").select("page_id", F.regexp_extract("tok", r"(?is)^<style[^>]*>(.*)</style\s*>$", 1).alias("css"))
     each = css.select("page_id", F.explode(C.rules("css")).alias("selector", "found"))
     return each.select("page_id", "selector", F.explode("found").alias("property", "value"))
+
+
+def _stepped(tag: str) -> Column:
+    return F.when(F.col("tag") != tag, 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+
+
+def depth(pages: DataFrame, tag: str) -> DataFrame:
+    """page_id, pos and how many elements ``tag`` are open at each text, never below zero."""
+    summed = tokens(pages).withColumn("s", F.sum(_stepped(tag)).over(_so_far()))
+    floored = summed.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(_so_far())))
+    return floored.where("kind = 'text'").select("page_id", "pos", F.col("depth").cast("int").alias("depth"))
+
+
+def toggled(pages: DataFrame, *tags: str) -> DataFrame:
+    """page_id, pos and whether each text is inside, where any tag of ``tags`` switches (quotation marks, code)."""
+    switch = F.when(F.col("tag").isin(*tags) & F.col("kind").isin("open", "close"), 1).otherwise(0)
+    counted = tokens(pages).withColumn("n", F.sum(switch).over(_so_far()))
+    return counted.where("kind = 'text'").select("page_id", "pos", (F.col("n") % 2 == 1).alias("inside"))
+
+
+def tag_pairs(pages: DataFrame) -> DataFrame:
+    """page_id, tag, depth, opened and closed: places of start tags and of the end tags that match them.
+
+    Within a page and tag, the n-th start tag at a depth belongs to the n-th end
+    tag at that depth; start tags without one are left out.
+    """
+    marks = tokens(pages).where("kind in ('open', 'close')").withColumn("step", F.when(F.col("kind") == "open", 1).otherwise(-1))
+    one = W.partitionBy("page_id", "tag").orderBy("pos")
+    level = F.sum("step").over(one.rowsBetween(W.unboundedPreceding, W.currentRow))
+    marks = marks.withColumn("depth", (F.when(F.col("kind") == "open", level).otherwise(level + 1)).cast("int")).where("depth > 0")
+    nth = F.row_number().over(W.partitionBy("page_id", "tag", "depth", "kind").orderBy("pos"))
+    marks = marks.select("page_id", "tag", "depth", "kind", "pos", nth.alias("n"))
+    paired = marks.groupBy("page_id", "tag", "depth", "n").agg(F.max(F.when(F.col("kind") == "open", F.col("pos"))).alias("opened"), F.max(F.when(F.col("kind") == "close", F.col("pos"))).alias("closed"))
+    return paired.where("opened is not null and closed is not null").select("page_id", "tag", "depth", "opened", "closed")
+
+
+_BLOCKS = "p div article section h1 h2 h3 h4 h5 h6 ul ol li table tr td th blockquote pre nav footer header body dl dt dd hr".split()
+
+
+def paragraphs(pages: DataFrame) -> DataFrame:
+    """page_id, block_no, tag and text of each run of text between block tags, where there is text."""
+    edge = F.when(F.col("tag").isin(*_BLOCKS) & F.col("kind").isin("open", "close"), 1).otherwise(0)
+    t = tokens(pages).withColumn("block_no", F.sum(edge).over(_so_far()))
+    t = t.withColumn("at", F.last(F.when(edge == 1, F.col("tag")), ignorenulls=True).over(_so_far()))
+    made = t.where("kind = 'text'").groupBy("page_id", "block_no").agg(F.max("at").alias("tag"), F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("parts"))
+    text = C.trimmed(F.array_join(F.transform("parts", lambda p: p["tok"]), ""))
+    return made.select("page_id", F.col("block_no").cast("int").alias("block_no"), "tag", text.alias("text")).where("text <> ''")
+
+
+def abbreviations(pages: DataFrame) -> DataFrame:
+    """page_id, abbr, title, first_pos: each abbreviation with the title given last."""
+    t = tokens(pages).withColumn("next", F.lead("tok").over(_page())).withColumn("follows", F.lead("kind").over(_page()))
+    found = t.where("kind = 'open' and tag = 'abbr' and follows = 'text'").select("page_id", "pos", attribute("title").alias("title"), F.col("next").alias("abbr")).where("title is not null")
+    return found.groupBy("page_id", "abbr").agg(F.max_by("title", "pos").alias("title"), F.min("pos").alias("first_pos"))
+
+
+def table_rows(pages: DataFrame) -> DataFrame:
+    """page_id, row_no, n_cells and whether the row has its own end tag, of tables that are not nested."""
+    opens = F.when((F.col("kind") == "open") & (F.col("tag") == "tr"), 1).otherwise(0)
+    t = tokens(pages).withColumn("row_no", F.sum(opens).over(_so_far())).where("row_no > 0")
+    ends = F.max(F.when((F.col("kind") == "close") & (F.col("tag") == "tr"), 1).otherwise(0)) == 1
+    cells = F.sum(F.when((F.col("kind") == "open") & F.col("tag").isin("td", "th"), 1).otherwise(0))
+    return t.groupBy("page_id", "row_no").agg(cells.alias("n_cells"), ends.alias("explicit")).withColumn("row_no", F.col("row_no").cast("int"))
+
+
+def shown_links(pages: DataFrame, skip_internal: bool = True, ignore_mailto: bool = False) -> DataFrame:
+    """links() with whether each keeps its link syntax."""
+    hidden = F.lit(False)
+    if skip_internal:
+        hidden = hidden | F.col("href").startswith("#")
+    if ignore_mailto:
+        hidden = hidden | F.col("href").startswith("mailto:")
+    return links(pages).select("page_id", "pos", "href", (~hidden).alias("shown"))
+
+
+def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos and line of each text."""
+    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+
+
+def fenced_lines(docs: DataFrame, mark: str = "```", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """lines() with whether each is inside marks, or opens them; each line that starts with the mark switches."""
+    switch = F.when(C.left_trimmed("line").startswith(mark), 1).otherwise(0)
+    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return lines(docs, key, text).select(key, "pos", "line", (F.sum(switch).over(so_far) % 2 == 1).alias("fenced"))
+
+
+def few_blank_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key and text, with one blank line at most between others."""
+    before = F.lag("line").over(W.partitionBy(key).orderBy("pos"))
+    kept = lines(docs, key, text).withColumn("before", before).where("line <> '' or before is null or before <> ''")
+    made = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
+    return made.select(key, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))

@@ -184,6 +184,71 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.images(_made_tables(spark, sf_dir)).drop("pos")
 
 
+@_query(f"""WITH {_TOKENS}, s AS (SELECT *, sum({_step('ul')}) {_SO_FAR} AS s FROM t), m AS (SELECT *, s - least(0, min(s) {_SO_FAR}) AS d FROM s)
+SELECT page_id, pos, CAST(d AS INTEGER) AS depth FROM m WHERE kind = 'text'""")
+def element_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.depth(_read(spark, sf_dir, "pages"), "ul")
+
+
+@_query(f"""WITH {_TOKENS}, s AS (SELECT *, sum(CASE WHEN tag IN ('b', 'li') AND kind IN ('open', 'close') THEN 1 ELSE 0 END) {_SO_FAR} AS n FROM t)
+SELECT page_id, pos, n % 2 = 1 AS inside FROM s WHERE kind = 'text'""")
+def parity_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.toggled(_read(spark, sf_dir, "pages"), "b", "li")
+
+
+@_query(f"""WITH {_TOKENS}, m AS (SELECT *, CASE WHEN kind = 'open' THEN 1 ELSE -1 END AS step FROM t WHERE kind IN ('open', 'close')),
+l AS (SELECT *, sum(step) OVER (PARTITION BY page_id, tag ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS lv FROM m),
+d AS (SELECT *, CAST(CASE WHEN kind = 'open' THEN lv ELSE lv + 1 END AS INTEGER) AS depth FROM l),
+n AS (SELECT *, row_number() OVER (PARTITION BY page_id, tag, depth, kind ORDER BY pos) AS n FROM d WHERE depth > 0)
+SELECT o.page_id, o.tag, o.depth, o.pos AS opened, c.pos AS closed FROM n o JOIN n c USING (page_id, tag, depth, n) WHERE o.kind = 'open' AND c.kind = 'close'""")
+def tag_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.tag_pairs(_read(spark, sf_dir, "pages"))
+
+
+_EDGE = "tag IN (" + ", ".join(f"'{t}'" for t in tokens._BLOCKS) + ") AND kind IN ('open', 'close')"
+
+
+@_query(f"""WITH {_TOKENS}, b AS (SELECT *, sum(CASE WHEN {_EDGE} THEN 1 ELSE 0 END) {_SO_FAR} AS block_no FROM t),
+z AS (SELECT page_id, block_no, max(CASE WHEN {_EDGE} THEN tag END) AS tag, string_agg(tok, '' ORDER BY pos) FILTER (WHERE kind = 'text') AS text FROM b GROUP BY page_id, block_no),
+r AS (SELECT page_id, CAST(block_no AS INTEGER) AS block_no, tag, regexp_replace(regexp_replace(text, '^[\\x00\\t\\n\\x0b\\r ]+', ''), '[\\x00\\t\\n\\x0b\\r ]+$', '') AS text FROM z)
+SELECT * FROM r WHERE text <> ''""")
+def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.paragraphs(_read(spark, sf_dir, "pages"))
+
+
+@_query("""WITH n AS (SELECT CAST(p_size AS BIGINT) AS page_id, p_brand AS abbr, p_type AS title, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS k FROM part)
+SELECT page_id, abbr, arg_max(title, k) AS title, CAST(min(k) * 3 - 3 AS INTEGER) AS first_pos FROM n GROUP BY page_id, abbr""")
+def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.concat(F.lit("<abbr title='"), F.col("p_type"), F.lit("'>"), F.col("p_brand"), F.lit("</abbr>"))
+    made = _read(spark, sf_dir, "part").groupBy(F.col("p_size").cast("long").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("p_partkey", one.alias("h")))).alias("hs"))
+    return tokens.abbreviations(made.select("page_id", F.array_join(F.transform("hs", lambda x: x["h"]), "").alias("html")))
+
+
+@_query(f"""WITH {_NUMBERED} SELECT l_orderkey AS page_id, k AS row_no, CAST(3 AS BIGINT) AS n_cells, true AS explicit FROM n""")
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.table_rows(_made_tables(spark, sf_dir))
+
+
+@_query(f"WITH {_TOKENS}, {_LINKS} SELECT page_id, pos, href, NOT (starts_with(href, '#') OR starts_with(href, 'mailto:')) AS shown FROM l WHERE href IS NOT NULL")
+def link_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.shown_links(_read(spark, sf_dir, "pages"), ignore_mailto=True)
+
+
+@_query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM l),
+f AS (SELECT doc_id, pos, sum(CASE WHEN starts_with(ltrim(line), 'Th') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM k)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, n % 2 = 1 AS fenced FROM f""")
+def fence_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.fenced_lines(_read(spark, sf_dir, "documents"), "Th").drop("line")
+
+
+@_query("""WITH l AS (SELECT doc_id, string_split(replace(text, '. ', chr(10) || chr(10) || chr(10)), chr(10)) AS ls FROM documents),
+k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l), b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k)
+SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM b WHERE line <> '' OR before IS NULL OR before <> '' GROUP BY doc_id""")
+def blank_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("\n\n\n")).alias("text"))
+    return tokens.few_blank_lines(docs)
+
+
 # -- text functions
 
 
