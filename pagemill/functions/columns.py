@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,11 @@ def plain_spaces(c: Column | str, unicode_snob: bool = False) -> Column:
 # -- entities
 
 
+def _constant(table: dict[str, str]) -> Column:
+    """A map of literals, folded when the query is planned; made of one literal, not of one for each entry."""
+    return F.from_json(F.lit(json.dumps(table)), "map<string,string>")
+
+
 def character(code: Column, unicode_snob: bool = False) -> Column:
     """The character of a numeric reference, from a long."""
     valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
@@ -66,9 +73,9 @@ def character(code: Column, unicode_snob: bool = False) -> Column:
         stand_ins = T.stand_ins_by_code()
         table = {k: stand_ins.get(v, chr(v)) for k, v in T.C1.items()} | stand_ins
     table[0xFEFF] = "\ufeff"  # which the decoder below would take for a byte order mark
-    known = F.create_map(*[F.lit(x) for item in table.items() for x in item])
+    known = _constant({str(k): v for k, v in table.items()})
     made = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-    return F.coalesce(F.try_element_at(known, code), made)
+    return F.coalesce(F.try_element_at(known, code.cast("string")), made)
 
 
 def reference_code(body: Column) -> Column:
@@ -86,7 +93,7 @@ def entity_text(source: Column, unicode_snob: bool = False) -> Column:
     if not unicode_snob:
         names |= T.STAND_INS
     names["nbsp"] = " "
-    known = F.create_map(*[F.lit(x) for item in names.items() for x in item])
+    known = _constant(names)
     body = F.substring(source, F.lit(2), F.length(source) - 2)
     lower = F.lower(body)
     named = F.coalesce(F.try_element_at(known, lower), F.concat(F.lit("&"), lower, F.lit(";")))

@@ -1,7 +1,9 @@
 """HTML as rows of tokens, and the views over them: depths, links, headings, list items.
 
-All are DataFrame operations.  Tokens of a page are numbered by ``pos``; windows run
-within a page, so one shuffle on the page serves all of them.
+All are DataFrame operations.  Tokens of a page are numbered by ``pos``; page_id must
+identify a page.  Views that look at single tokens shuffle nothing.  Views with windows
+deal the pages out by page_id while each is still one row, and all windows and groups
+of the view then run where the page lies.
 """
 
 from __future__ import annotations
@@ -25,14 +27,19 @@ def _so_far() -> WindowSpec:
     return _page().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """page_id, pos, tok, kind (open, close, raw, skip or text) and tag in lower case."""
-    each = pages.select("page_id", F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
+def tokens(pages: DataFrame, *extra: str) -> DataFrame:
+    """page_id, pos, tok, kind (open, close, raw, skip or text) and tag in lower case, with further columns of pages."""
+    each = pages.select("page_id", *extra, F.posexplode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(TOKEN), F.lit(0))).alias("pos", "tok"))
     kind = (
         F.when(F.col("tok").rlike("(?i)^<(script|style)[\\s>]"), "raw").when(F.col("tok").rlike("^<[!?]"), "skip").when(F.col("tok").rlike("^</[a-zA-Z]"), "close")
         .when(F.col("tok").rlike("^<[a-zA-Z]"), "open").otherwise("text")
     )
-    return each.select("page_id", "pos", "tok", kind.alias("kind"), F.lower(F.regexp_extract("tok", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"))
+    return each.select("page_id", *extra, "pos", "tok", kind.alias("kind"), F.lower(F.regexp_extract("tok", r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1)).alias("tag"))
+
+
+def _dealt(pages: DataFrame) -> DataFrame:
+    """tokens() with all of a page in one partition: a page moves as one row, not as its tokens."""
+    return tokens(pages.select("page_id", "html").repartition("page_id"))
 
 
 def attribute(name: str) -> Column:
@@ -50,7 +57,7 @@ def tag_histogram(pages: DataFrame) -> DataFrame:
 def anchor_depth(pages: DataFrame) -> DataFrame:
     """Open anchors around each text, never below zero."""
     step = F.when(F.col("tag") != "a", 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    summed = tokens(pages).withColumn("s", F.sum(step).over(_so_far()))
+    summed = _dealt(pages).withColumn("s", F.sum(step).over(_so_far()))
     floored = summed.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(_so_far())))
     return floored.where("kind = 'text'").select("page_id", "pos", F.col("depth").cast("int").alias("depth"), F.length("tok").alias("n_chars"))
 
@@ -58,20 +65,20 @@ def anchor_depth(pages: DataFrame) -> DataFrame:
 def visible_text(pages: DataFrame) -> DataFrame:
     """page_id and the text outside of head, scripts and styles."""
     step = F.when(F.col("tag") != "head", 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    shown = tokens(pages).withColumn("quiet", F.sum(step).over(_so_far())).where("quiet = 0 and kind = 'text'")
+    shown = _dealt(pages).withColumn("quiet", F.sum(step).over(_so_far())).where("quiet = 0 and kind = 'text'")
     joined = shown.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("parts"))
     return joined.select("page_id", F.array_join(F.transform("parts", lambda p: p["tok"]), "").alias("text"))
 
 
 def links(pages: DataFrame) -> DataFrame:
     """page_id, pos, href, title and the address resolved against the page's."""
-    found = tokens(pages).where("kind = 'open' and tag = 'a'").select("page_id", "pos", attribute("href").alias("href"), attribute("title").alias("title")).where("href is not null")
-    return found.join(pages.select("page_id", "url"), "page_id").select("page_id", "pos", "href", "title", C.join_url("url", "href").alias("resolved"))
+    found = tokens(pages, "url").where("kind = 'open' and tag = 'a'").select("page_id", "url", "pos", attribute("href").alias("href"), attribute("title").alias("title")).where("href is not null")
+    return found.select("page_id", "pos", "href", "title", C.join_url("url", "href").alias("resolved"))
 
 
 def reference_numbers(pages: DataFrame) -> DataFrame:
     """page_id, href, title, ref_no: distinct links numbered by first occurrence."""
-    found = tokens(pages).where("kind = 'open' and tag = 'a'").select("page_id", "pos", attribute("href").alias("href"), attribute("title").alias("title")).where("href is not null")
+    found = _dealt(pages).where("kind = 'open' and tag = 'a'").select("page_id", "pos", attribute("href").alias("href"), attribute("title").alias("title")).where("href is not null")
     first = found.groupBy("page_id", "href", "title").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
     return first.select("page_id", "href", "title", "n", F.row_number().over(_page()).alias("ref_no"))
 
@@ -79,7 +86,7 @@ def reference_numbers(pages: DataFrame) -> DataFrame:
 def headings(pages: DataFrame) -> DataFrame:
     """page_id, heading_no, level and text of each heading."""
     level = C.heading_level("tag")
-    t = tokens(pages).withColumn("level", level)
+    t = _dealt(pages).withColumn("level", level)
     starts = F.when((F.col("kind") == "open") & (F.col("level") > 0), 1).otherwise(0)
     ends = F.when((F.col("kind") == "close") & (F.col("level") > 0), 1).otherwise(0)
     t = t.withColumn("heading_no", F.sum(starts).over(_so_far())).withColumn("closed", F.sum(ends).over(_so_far()))
@@ -92,7 +99,7 @@ def list_items(pages: DataFrame) -> DataFrame:
     """page_id, li_idx, list_no, number and level of each list item."""
     is_list = F.col("tag").isin("ol", "ul")
     step = F.when(is_list & (F.col("kind") == "open"), 1).when(is_list & (F.col("kind") == "close"), -1).otherwise(0)
-    t = tokens(pages).where("kind in ('open', 'close')")
+    t = _dealt(pages).where("kind in ('open', 'close')")
     t = t.withColumn("level", F.sum(step).over(_so_far())).withColumn("list_no", F.sum(F.when(step == 1, 1).otherwise(0)).over(_so_far()))
     items = t.where("kind = 'open' and tag = 'li'")
     number = F.row_number().over(W.partitionBy("page_id", "list_no", "level").orderBy("pos"))
@@ -108,7 +115,7 @@ def images(pages: DataFrame) -> DataFrame:
 def table_cells(pages: DataFrame) -> DataFrame:
     """page_id, table_no, row_no, col_no, text and width of each cell of tables that are not nested."""
     opens = lambda *tags: F.when((F.col("kind") == "open") & F.col("tag").isin(*tags), 1).otherwise(0)
-    t = tokens(pages).withColumn("table_no", F.sum(opens("table")).over(_so_far())).withColumn("row_at", F.sum(opens("tr")).over(_so_far())).withColumn("cell_at", F.sum(opens("td", "th")).over(_so_far()))
+    t = _dealt(pages).withColumn("table_no", F.sum(opens("table")).over(_so_far())).withColumn("row_at", F.sum(opens("tr")).over(_so_far())).withColumn("cell_at", F.sum(opens("td", "th")).over(_so_far()))
     closed = F.when((F.col("kind") == "close") & F.col("tag").isin("td", "th", "tr", "table") | (opens("td", "th", "tr", "table") == 1), F.col("pos"))
     t = t.withColumn("cut", F.last(closed, ignorenulls=True).over(_so_far())).withColumn("opened", F.last(F.when(opens("td", "th") == 1, F.col("pos")), ignorenulls=True).over(_so_far()))
     inside = t.where("opened = cut")
@@ -132,7 +139,7 @@ def _stepped(tag: str) -> Column:
 
 def depth(pages: DataFrame, tag: str) -> DataFrame:
     """page_id, pos and how many elements ``tag`` are open at each text, never below zero."""
-    summed = tokens(pages).withColumn("s", F.sum(_stepped(tag)).over(_so_far()))
+    summed = _dealt(pages).withColumn("s", F.sum(_stepped(tag)).over(_so_far()))
     floored = summed.withColumn("depth", F.col("s") - F.least(F.lit(0), F.min("s").over(_so_far())))
     return floored.where("kind = 'text'").select("page_id", "pos", F.col("depth").cast("int").alias("depth"))
 
@@ -140,7 +147,7 @@ def depth(pages: DataFrame, tag: str) -> DataFrame:
 def toggled(pages: DataFrame, *tags: str) -> DataFrame:
     """page_id, pos and whether each text is inside, where any tag of ``tags`` switches (quotation marks, code)."""
     switch = F.when(F.col("tag").isin(*tags) & F.col("kind").isin("open", "close"), 1).otherwise(0)
-    counted = tokens(pages).withColumn("n", F.sum(switch).over(_so_far()))
+    counted = _dealt(pages).withColumn("n", F.sum(switch).over(_so_far()))
     return counted.where("kind = 'text'").select("page_id", "pos", (F.col("n") % 2 == 1).alias("inside"))
 
 
@@ -150,7 +157,7 @@ def tag_pairs(pages: DataFrame) -> DataFrame:
     Within a page and tag, the n-th start tag at a depth belongs to the n-th end
     tag at that depth; start tags without one are left out.
     """
-    marks = tokens(pages).where("kind in ('open', 'close')").withColumn("step", F.when(F.col("kind") == "open", 1).otherwise(-1))
+    marks = _dealt(pages).where("kind in ('open', 'close')").withColumn("step", F.when(F.col("kind") == "open", 1).otherwise(-1))
     one = W.partitionBy("page_id", "tag").orderBy("pos")
     level = F.sum("step").over(one.rowsBetween(W.unboundedPreceding, W.currentRow))
     marks = marks.withColumn("depth", (F.when(F.col("kind") == "open", level).otherwise(level + 1)).cast("int")).where("depth > 0")
@@ -166,7 +173,7 @@ _BLOCKS = "p div article section h1 h2 h3 h4 h5 h6 ul ol li table tr td th block
 def paragraphs(pages: DataFrame) -> DataFrame:
     """page_id, block_no, tag and text of each run of text between block tags, where there is text."""
     edge = F.when(F.col("tag").isin(*_BLOCKS) & F.col("kind").isin("open", "close"), 1).otherwise(0)
-    t = tokens(pages).withColumn("block_no", F.sum(edge).over(_so_far()))
+    t = _dealt(pages).withColumn("block_no", F.sum(edge).over(_so_far()))
     t = t.withColumn("at", F.last(F.when(edge == 1, F.col("tag")), ignorenulls=True).over(_so_far()))
     made = t.where("kind = 'text'").groupBy("page_id", "block_no").agg(F.max("at").alias("tag"), F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("parts"))
     text = C.trimmed(F.array_join(F.transform("parts", lambda p: p["tok"]), ""))
@@ -175,7 +182,7 @@ def paragraphs(pages: DataFrame) -> DataFrame:
 
 def abbreviations(pages: DataFrame) -> DataFrame:
     """page_id, abbr, title, first_pos: each abbreviation with the title given last."""
-    t = tokens(pages).withColumn("next", F.lead("tok").over(_page())).withColumn("follows", F.lead("kind").over(_page()))
+    t = _dealt(pages).withColumn("next", F.lead("tok").over(_page())).withColumn("follows", F.lead("kind").over(_page()))
     found = t.where("kind = 'open' and tag = 'abbr' and follows = 'text'").select("page_id", "pos", attribute("title").alias("title"), F.col("next").alias("abbr")).where("title is not null")
     return found.groupBy("page_id", "abbr").agg(F.max_by("title", "pos").alias("title"), F.min("pos").alias("first_pos"))
 
@@ -183,7 +190,7 @@ def abbreviations(pages: DataFrame) -> DataFrame:
 def table_rows(pages: DataFrame) -> DataFrame:
     """page_id, row_no, n_cells and whether the row has its own end tag, of tables that are not nested."""
     opens = F.when((F.col("kind") == "open") & (F.col("tag") == "tr"), 1).otherwise(0)
-    t = tokens(pages).withColumn("row_no", F.sum(opens).over(_so_far())).where("row_no > 0")
+    t = _dealt(pages).withColumn("row_no", F.sum(opens).over(_so_far())).where("row_no > 0")
     ends = F.max(F.when((F.col("kind") == "close") & (F.col("tag") == "tr"), 1).otherwise(0)) == 1
     cells = F.sum(F.when((F.col("kind") == "open") & F.col("tag").isin("td", "th"), 1).otherwise(0))
     return t.groupBy("page_id", "row_no").agg(cells.alias("n_cells"), ends.alias("explicit")).withColumn("row_no", F.col("row_no").cast("int"))
