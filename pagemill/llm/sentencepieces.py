@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SEGMENTS, PAIRS = 250_000, 500_000
+SEGMENTS, PAIRS = 400_000, 500_000
 BATCH = 1 << 19  # bytes of segments that are indexed at once
 _DEPTH = 16  # bytes that the suffix array sorts by; longer pieces are compared in full
 
@@ -49,10 +49,10 @@ class Vocabulary:
 
     def __init__(self, pieces: list[str], scores: list[float], byte_ids: dict[int, int]):
         self.pieces, self.scores, self.byte_ids = pieces, scores, byte_ids
-        self.encoder = None
+        self.key = hashlib.sha256(repr((pieces, scores, sorted(byte_ids.items()))).encode()).hexdigest()
 
     def __getstate__(self):
-        return {"pieces": self.pieces, "scores": self.scores, "byte_ids": self.byte_ids, "encoder": None}
+        return {"pieces": self.pieces, "scores": self.scores, "byte_ids": self.byte_ids, "key": self.key}
 
     @classmethod
     def load(cls, path: str = MODEL) -> Vocabulary:
@@ -67,9 +67,11 @@ class Vocabulary:
         return cls(pieces, [model.get_score(i) for i in range(n)], bytes_at)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self.encoder is None:
-            self.encoder = Encoder(self)
-        return self.encoder.encode(texts)
+        encoder = _encoders.get(self.key)
+        if encoder is None:
+            _encoders.clear()  # one vocabulary at a time
+            encoder = _encoders[self.key] = Encoder(self)
+        return encoder.encode(texts)
 
     def decode(self, ids: np.ndarray | list[int]) -> str:
         if not hasattr(self, "raw"):
@@ -81,6 +83,10 @@ class Vocabulary:
         return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
 
 
+# A Python worker serves one task after the other; what it has learnt stays with it.
+_encoders: dict[str, Encoder] = {}
+
+
 class Pairs:
     """Which neighbouring pieces stay as they are: an open-addressing table in numpy."""
 
