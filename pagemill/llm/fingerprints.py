@@ -140,7 +140,8 @@ def neighbours(queries: DataFrame, stored: DataFrame, radius: int = 3) -> DataFr
     first = F.coalesce(*(F.when(s, F.lit(i)) for i, s in enumerate(same)))
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
     met = (left.t == right.t) & (left.key == right.key) & (distance <= radius) & (first == left.t)
-    return left.join(right, met).select("query", "fp", distance.alias("distance"))
+    # Without the hint the size of the queries is guessed from before they are multiplied by the tables.
+    return left.hint("merge").join(right, met).select("query", "fp", distance.alias("distance"))
 
 
 def compare(docs: DataFrame, radius: int = 3, every: int = QUERIES) -> DataFrame:
