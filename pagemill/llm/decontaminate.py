@@ -20,7 +20,7 @@ item_id count once; results are per row of documents.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -33,6 +33,7 @@ from pagemill.llm import words
 BLOCK_BYTES = 16 << 20
 SHINGLE = 5
 SIEVE = 1 << 22  # slots of the table that turns most shingles away
+Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 _WORD = np.zeros(256, bool)
 _WORD[np.r_[0x30:0x3A, 0x61:0x7B, 0x80:0x100]] = True
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<long>"
@@ -135,7 +136,7 @@ def _counted(docs: DataFrame, block: Windows) -> dict[int, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {k: np.zeros(len(keys), np.int64) for k, keys in by.items()}
-        for batch in batches:
+        for batch in words.small(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             for a, b in words.chunks(texts):
                 w = tokenised(texts[a:b])
@@ -154,7 +155,7 @@ def _counted(docs: DataFrame, block: Windows) -> dict[int, int]:
 
 def _search(index: Index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             n_words, hits, items = [], batch.column("hits").to_pylist(), batch.column("items").to_pylist()
             for a, b in words.chunks(texts):
@@ -182,8 +183,12 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
-def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int) -> DataFrame:
-    """row (all columns but text, and whether text was null), text, n_words, hits and items."""
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, last: Step, schema: str | None = None) -> DataFrame:
+    """Search the blocks one after the other, and end with ``last`` in the same Python worker as the last of them.
+
+    ``last`` receives row (all columns but text, and whether text was null), text,
+    n_words, hits and items; without a schema it gives the same.
+    """
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
     size = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-size // block_bytes))
@@ -193,8 +198,10 @@ def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: i
     for i in range(n_blocks):
         block = windows_of([tuple(r) for r in bench.where(part == i).collect()], window)  # of block_bytes
         index = Index(block, _counted(docs, block) if block.text else {})
-        state = state.mapInArrow(_search(index), state.schema)
-    return state
+        search = _search(index)
+        if i < n_blocks - 1:
+            state = state.mapInArrow(search, state.schema)
+    return state.mapInArrow(lambda batches: last(search(batches)), schema or state.schema)
 
 
 def _contaminated(batch: pa.RecordBatch, share: int) -> tuple[list[int], list[bool]]:
@@ -209,7 +216,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     ``contaminated``: at least one word is hit and ``share`` times the hit words
     are at least all words.  ``hit_spans`` holds starts and ends in words.
     """
-    state = _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, block_bytes)
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,17 +225,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
             cols = [batch.column("row").field("doc_id"), batch.column("n_words"), n_hit, [len(x) for x in items], digest, bad, batch.column("items"), batch.column("hits")]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
-    return state.mapInArrow(last, SCHEMA)
+    return _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, block_bytes, last, SCHEMA)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    state = _searched(docs, benchmark, window, block_bytes)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array([not b for b in _contaminated(batch, share)[1]], pa.bool_()))
 
-    kept = state.mapInArrow(keep, state.schema)
+    kept = _searched(docs, benchmark, window, block_bytes, keep)
     text = F.when(~F.col("row.`text was null`"), F.col("text"))
     return kept.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

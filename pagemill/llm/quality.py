@@ -140,7 +140,7 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
     """The rows of ``docs`` whose text scores ``threshold`` or more, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(model.score(texts) >= threshold))
 
@@ -151,7 +151,7 @@ def scored(docs: DataFrame, score, threshold: float) -> DataFrame:
     """One scan: ``score`` maps a list of texts to numbers from 0 to 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             s = score(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

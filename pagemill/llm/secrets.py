@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm import words
+
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE = 1000  # documents that the identifiers are taken from, at most
 SAMPLE_CHARS = 50_000
@@ -133,7 +135,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     model = train(sorted(set(texts)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             out = []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 base = base_spans(t)

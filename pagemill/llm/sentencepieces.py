@@ -17,7 +17,7 @@ no longer piece holds (a line feed, for one) always stand alone; the text is cut
 there.  Runs of several space marks, whose pieces tie in score, are merged
 directly.  Unknown characters become byte pieces.
 
-One scan, no shuffle.  A task keeps at most ``SEGMENTS`` segments and ``PAIRS``
+One scan, no shuffle.  A worker keeps about ``SEGMENTS`` encodings and ``PAIRS``
 tested pairs.  The vocabulary goes to the tasks with the code; its file is read on
 the driver only.
 
@@ -30,17 +30,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagemill.llm import words
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-SEGMENTS, PAIRS = 400_000, 500_000
-BATCH = 1 << 19  # bytes of segments that are indexed at once
+SEGMENTS, PAIRS = 200_000, 500_000
+BATCH = 1 << 18  # bytes of segments that are indexed at once
 _DEPTH = 16  # bytes that the suffix array sorts by; longer pieces are compared in full
 
 
@@ -143,8 +144,9 @@ class Encoder:
         self.size_of = np.zeros(len(vocabulary.pieces), np.int64)
         self.size_of[self.ids] = self.size
         self.pairs = Pairs()
-        self.known: dict[str, list[int]] = {}  # segments
-        self.words: dict[str, list[int]] = {}  # what stands between spaces
+        # Encodings as 32-bit ids: of what stands between spaces, and of other segments.
+        self.words: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     @staticmethod
     def _keys(raw: list[bytes]) -> np.ndarray:
@@ -231,18 +233,30 @@ class Encoder:
             found.append((at, owner, t))
         at, owner, t = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(at, kind="stable")
-        t, cut = t[order].tolist(), np.cumsum(np.bincount(owner, minlength=len(raw))).tolist()
+        ids, cut = t[order].astype(np.int32).tobytes(), (4 * np.cumsum(np.bincount(owner, minlength=len(raw)))).tolist()
         for i, (s, bad) in enumerate(zip(segments, failed.tolist(), strict=True)):
-            self.known[s] = self._merged(s) if bad else t[cut[i - 1] if i else 0 : cut[i]]
+            self._keep(s, self._packed(s) if bad else ids[cut[i - 1] if i else 0 : cut[i]])
+
+    def _packed(self, s: str) -> bytes:
+        return np.array(self._merged(s), np.int32).tobytes()
+
+    def _keep(self, s: str, ids: bytes) -> None:
+        if s[0] == MARK and s[:2] != MARK * 2:
+            self.words[s[1:]] = ids
+        else:
+            self.known[s] = ids
+
+    def _of(self, s: str) -> bytes | None:
+        return self.words.get(s[1:]) if s[0] == MARK and s[:2] != MARK * 2 else self.known.get(s)
 
     def _learn(self, segments: list[str]) -> None:
         """Encode the segments that are not known yet."""
-        known, new, size = self.known, [], 0
+        new, size = [], 0
         for s in dict.fromkeys(segments):
-            if s in known:
+            if self._of(s) is not None:
                 continue
             if s[:2] == MARK * 2 or len(s) == 1:
-                known[s] = self._merged(s)
+                self._keep(s, self._packed(s))
                 continue
             new.append(s)
             size += len(s)
@@ -253,22 +267,21 @@ class Encoder:
             self._relaxed(new)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        words, known = self.words, self.known
-        if len(known) > SEGMENTS:
-            known.clear()
-        if len(words) > SEGMENTS:
-            words.clear()
+        table_of, of = self.words, self._of
+        for table in (table_of, self.known):
+            if len(table) > SEGMENTS:
+                table.clear()
         # A text without double marks is cut at its spaces; a word is a mark and what follows.
         plain = [not (t.startswith(" ") or "  " in t or MARK in t) for t in texts]
         parts = [t.split(" ") if p else self.segments(MARK + t.replace(" ", MARK)) for t, p in zip(texts, plain, strict=True)]
-        new = {w: self.segments(MARK + w) for x, p in zip(parts, plain, strict=True) if p for w in x if w not in words}
+        new = {w: self.segments(MARK + w) for w in {w for x, p in zip(parts, plain, strict=True) if p for w in x} if w not in table_of}
         self._learn([s for x in new.values() for s in x] + [s for x, p in zip(parts, plain, strict=True) if not p for s in x])
         for w, x in new.items():
-            words[w] = known[x[0]] if len(x) == 1 else [i for s in x for i in known[s]]
+            if len(x) > 1:
+                table_of[w] = b"".join(map(of, x))
         out = []
         for t, x, p in zip(texts, parts, plain, strict=True):
-            table = words if p else known
-            out.append(np.fromiter(chain.from_iterable(map(table.__getitem__, x)), np.int32) if t else np.empty(0, np.int32))
+            out.append(np.frombuffer(b"".join(map(table_of.__getitem__ if p else of, x)) if t else b"", np.int32))
         return out
 
 
@@ -287,7 +300,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_pieces and ids (array<int>) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             texts = batch.column("text").to_pylist()
             for a, b in _groups(texts):
                 ids = vocabulary.encode(texts[a:b])
@@ -302,7 +315,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id and the text of ``ids``; null ids are no ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([vocabulary.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
     return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
@@ -316,7 +329,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Per document: how many pieces, digests of the ids (little-endian 32-bit) and of the decoded text, and whether that is the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             texts, ids_of, rows = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist(), []
             for a, b in _groups(texts):
                 for i, text, ids in zip(ids_of[a:b], texts[a:b], vocabulary.encode(texts[a:b]), strict=True):
@@ -335,7 +348,7 @@ def encoded_exactly(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, n_pieces, ids, and whether decoding the ids gives back the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             texts, at = batch.column("text").to_pylist(), batch.column("doc_id")
             for a, b in _groups(texts):
                 ids = vocabulary.encode(texts[a:b])

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import components
+from pagemill.llm import components, words
 
 SEED = 42
 SHINGLE = 3
@@ -47,13 +47,13 @@ _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     """The 64-bit SimHash of one text."""
-    words = (text or "").encode().lower().split()
-    if not words:
+    found = (text or "").encode().lower().split()
+    if not found:
         return 0
-    if len(words) < size:
-        shingles = [b" ".join(words)]
+    if len(found) < size:
+        shingles = [b" ".join(found)]
     else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
+        shingles = map(b" ".join, zip(*(found[i:] for i in range(size)), strict=False))
     hashes = np.fromiter(map(_hash, shingles), "<u8")
     votes = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 14):
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in words.small(batches):
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 

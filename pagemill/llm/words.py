@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-CHUNK = 1 << 20  # bytes of text that are worked on at once; a longer text is its own chunk
+CHUNK = 1 << 18  # bytes of text that are worked on at once; a longer text is its own chunk
 _powers: list[np.ndarray] = []
 
 
@@ -26,6 +27,13 @@ def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, which share their memory."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def scrambled(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(31))) * _U(0xBF58476D1CE4E5B9)
     return x ^ (x >> _U(29))
