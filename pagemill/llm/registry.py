@@ -21,7 +21,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(_table(spark, sf_dir, "pages"))
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("error")
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,4 +68,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_suffix_array_dedup": suffix_dedup.ORACLE_SQL, "op2_warc": warc.ORACLE_SQL, "op3_benchmark_decontamination": decontaminate.ORACLE_SQL, "op6_line_dedup": line_dedup.ORACLE_SQL}

@@ -323,3 +323,21 @@ def dedup_substrings(docs: DataFrame, length: int = 50, block_bytes: int = round
     got = rounds.answer(rounds.send(blocks, got, runs), _runs_answer)
     got = rounds.answer(rounds.send(blocks, got, windows), _windows_answer)
     return rounds.finish(blocks, got, result, SCHEMA)
+
+
+# Every 50-byte string as a row: for small tables.
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT doc_id, n, p, b[p:p + 49] AS w FROM (SELECT doc_id, n, b, unnest(range(1, n - 48)) AS p FROM d)),
+f AS (SELECT w, min(doc_id) AS first FROM s GROUP BY w),
+g AS (SELECT s.doc_id, s.p FROM s JOIN f ON s.w = f.w WHERE f.first < s.doc_id),
+o AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS opens FROM g),
+r AS (SELECT doc_id, p, sum(opens) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM o),
+x AS (SELECT doc_id, k, min(p) AS a, max(p) + 49 AS z FROM r GROUP BY doc_id, k),
+y AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS q FROM x),
+m AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans, max(z) AS last FROM x GROUP BY doc_id),
+kept AS (SELECT y.doc_id, string_agg(hex(b[q:a - 1]), '' ORDER BY a) AS h FROM y JOIN d ON y.doc_id = d.doc_id GROUP BY y.doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN m.doc_id IS NULL THEN b ELSE unhex(h || hex(b[last + 1:n])) END) AS kept_sha256
+FROM d LEFT JOIN m ON d.doc_id = m.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

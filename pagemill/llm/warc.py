@@ -249,6 +249,6 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(c
 k AS (SELECT d, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY d)
 SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
        CASE WHEN p.page_id < k.kept THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN p.page_id < k.kept THEN k.kept END AS refers_to, CAST(NULL AS VARCHAR) AS error
+       CASE WHEN p.page_id < k.kept THEN k.kept END AS refers_to
 FROM p LEFT JOIN k ON p.d = k.d AND p.n >= 1000
 """
