@@ -130,18 +130,18 @@ def _keys(fp: Column, radius: int) -> list[Column]:
 
 
 def neighbours(queries: DataFrame, stored: DataFrame, radius: int = 3) -> DataFrame:
-    """query, fp, distance: all stored fingerprints within ``radius`` of each query.
+    """query, the columns of stored, distance: all stored fingerprints within ``radius`` of each query.
 
-    Both have distinct longs in column ``fp``; other columns are dropped.
+    Both have distinct longs in column ``fp``.
     """
     left = queries.select(F.col("fp").alias("query"), F.posexplode(F.array(*_keys(F.col("fp"), radius))).alias("t", "key"))
-    right = stored.select("fp", F.posexplode(F.array(*_keys(F.col("fp"), radius))).alias("t", "key"))
+    right = stored.select("*", F.posexplode(F.array(*_keys(F.col("fp"), radius))).alias("t", "key"))
     same = [a == b for a, b in zip(_keys(F.col("query"), radius), _keys(F.col("fp"), radius), strict=True)]
     first = F.coalesce(*(F.when(s, F.lit(i)) for i, s in enumerate(same)))
     distance = F.bit_count(F.col("query").bitwiseXOR(F.col("fp")))
     met = (left.t == right.t) & (left.key == right.key) & (distance <= radius) & (first == left.t)
     # Without the hint the size of the queries is guessed from before they are multiplied by the tables.
-    return left.hint("merge").join(right, met).select("query", "fp", distance.alias("distance"))
+    return left.hint("merge").join(right, met).select("query", *stored.columns, distance.alias("distance"))
 
 
 def compare(docs: DataFrame, radius: int = 3, every: int = QUERIES) -> DataFrame:
@@ -159,7 +159,7 @@ def compare(docs: DataFrame, radius: int = 3, every: int = QUERIES) -> DataFrame
     after = known.groupBy(F.col("doc_id").alias("after_id"), F.col("tie").alias("next_tie")).agg(F.min("fp").alias("nfp"))
     count = known.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     asked = known.where(F.col("doc_id") % every == 0).select("fp").distinct()
-    near = neighbours(asked, count, radius).join(count, "fp").groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("near_docs"))
+    near = neighbours(asked, count, radius).groupBy(F.col("query").alias("fp")).agg((F.sum("n") - 1).alias("near_docs"))
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     like = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64.0
     whole = known.join(after, (known.next_tie == after.next_tie) & known.next_id.eqNullSafe(after.after_id)).join(near, "fp", "left")
