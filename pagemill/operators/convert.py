@@ -63,8 +63,17 @@ def to_markdown_with(html: Column | str, options: Column | str) -> Column:
     return run(html, options)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt evenly where a table has fewer partitions than the session has slots, as one small file has.
+
+    Conversion is much dearer than moving a page; a table with enough partitions is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 def convert(pages: DataFrame, options: Options = DEFAULTS, column: str = "html", output: str = "markdown") -> DataFrame:
-    return pages.withColumn(output, to_markdown(column, options))
+    return (pages if pages.isStreaming else spread(pages)).withColumn(output, to_markdown(column, options))
 
 
 EVENT = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("kind", T.StringType()), T.StructField("tag", T.StringType()), T.StructField("attrs", T.MapType(T.StringType(), T.StringType())), T.StructField("text", T.StringType()), T.StructField("depth", T.IntegerType())])
@@ -92,7 +101,7 @@ def html_events(html: Column | str, unicode_snob: bool = True) -> Column:
 
 def events(pages: DataFrame, column: str = "html") -> DataFrame:
     """A row per event of each page."""
-    return pages.select("page_id", F.explode(html_events(column)).alias("e")).select("page_id", "e.*")
+    return spread(pages.select("page_id", column)).select("page_id", F.explode(html_events(column)).alias("e")).select("page_id", "e.*")
 
 
 def wrap(text: Column | str, width: int = 75) -> Column:

@@ -405,13 +405,14 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", convert.to_markdown("html").alias("markdown"))
+    return convert.convert(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "markdown")
 
 
 @_query()
 def markdown_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     options = Options(body_width=0, inline_links=False, unicode_snob=True, strong_mark="__", single_line_break=True)
-    return _read(spark, sf_dir, "pages").select("page_id", convert.try_to_markdown("html", options).alias("r")).select("page_id", "r.*")
+    pages = convert.spread(_read(spark, sf_dir, "pages").select("page_id", "html"))
+    return pages.select("page_id", convert.try_to_markdown("html", options).alias("r")).select("page_id", "r.*")
 
 
 @_query()
@@ -421,7 +422,8 @@ def html_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def wordwrap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents").select("doc_id", convert.wrap("text", 72).alias("wrapped"))
+    docs = convert.spread(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", convert.wrap("text", 72).alias("wrapped"))
 
 
 @_query()
