@@ -12,8 +12,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pagemill.llm import components, decontaminate, line_dedup, quality, sentencepieces, simhash_dedup
 
@@ -37,13 +35,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates, the document with the smallest doc_id."""
-    found = simhash_dedup.near_duplicates(docs)
-    same = (F.col("doc_id") == F.col("component_id")) | (F.col("doc_id").isNull() & F.col("component_id").isNull())
-    kept = found.where(same).select(F.col("doc_id").alias("kept")).distinct()
-    left = docs.join(kept, docs.doc_id.eqNullSafe(kept.kept), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return left.withColumn("copy", F.row_number().over(first)).where("copy = 1").select(COLUMNS)
+    """Of each group of near-duplicates one row, with the smallest doc_id; null and repeated ids are rows of their own."""
+    return simhash_dedup.first_rows(docs).select(COLUMNS)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -31,8 +31,9 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from pagemill.llm import components, words
 
@@ -63,15 +64,17 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(on, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, keys: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, fp, keys): fp is the fingerprint as a signed long; keys are further long columns."""
+    names = ["doc_id", *(keys or {})]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.small(batches):
             fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(c.alias(k) for k, c in (keys or {}).items()))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 class Tree:
@@ -175,14 +178,37 @@ def links(spark: SparkSession, distinct: DataFrame, radius: int = 3, leaf: int =
     return distinct.select("fp").mapInArrow(place, "leaf long, fp long, home boolean").groupBy("leaf").applyInArrow(link, "a long, b long")
 
 
+def _labelled(fps: DataFrame, least: Column, radius: int) -> DataFrame:
+    """(fp, least, label) of every distinct fingerprint: label is the same within a component."""
+    distinct = fps.groupBy("fp").agg(least.alias("least")).checkpoint()
+    labels = components.connected(links(fps.sparkSession, distinct, radius))
+    return distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest doc_id reachable)."""
-    spark = docs.sparkSession
-    components.shared_folder(spark)
+    components.shared_folder(docs.sparkSession)
     fps = fingerprints(docs).checkpoint()
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("least")).checkpoint()
-    labels = components.connected(links(spark, distinct, radius))
-    of = distinct.join(labels, distinct.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
+    of = _labelled(fps, F.min("doc_id"), radius)
     least = of.groupBy("label").agg(F.min("least").alias("component_id"))
     table = of.join(least, "label").select("fp", "component_id")
     return fps.join(table, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_rows(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """One row of each component, with all its columns: of the smallest doc_id, then of the smallest key.
+
+    Rows are told apart by two 64-bit hashes of doc_id and text, so neither null
+    nor repeated ids join components or split them.  Of rows that are equal in
+    both, each partition sends one on (the limit that Spark puts before the
+    exchange), however many there are.
+    """
+    components.shared_folder(docs.sparkSession)
+    keys = {f"key{i}": F.xxhash64(F.lit(i), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text") for i in (1, 2)}
+    fps = fingerprints(docs, keys).checkpoint()
+    of = _labelled(fps, F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)), radius)
+    kept = of.groupBy("label").agg(F.min("least").alias("least")).select(*(F.col(f"least.{k}").alias(k) for k in keys))
+    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.lit(0), *rest).alias("rest"), *(c.alias(k) for k, c in keys.items()))
+    one = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("rest"))).where("copy = 1")
+    return one.join(kept, list(keys), "left_semi").select("whole.*")

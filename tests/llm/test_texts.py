@@ -259,3 +259,21 @@ def test_pipeline(spark, tmp_path):
     assert all(r.exact for r in got.values())
     assert bad == {1001}
     assert {x[0] for x in labels if x[1] == 1} & set(got)
+
+
+def test_near_dedup_stage_keeps_one_row_per_component(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    from tests.llm.test_dedup import brute_components, brute_fp
+
+    t = [clean_text(i) for i in range(8)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (None, None), (1, t[2]), (1, t[3]), (1, t[3]), (2, t[3]), (3, t[4]), (None, t[4]), (4, t[5]), (4, t[0]), (5, ""), *((None, t[6]) for _ in range(30)), (None, t[7])]
+    group = brute_components([brute_fp(x) for _, x in rows])
+    want = Counter()
+    for g in set(group):
+        i, x = min((r for r, k in zip(rows, group, strict=True) if k == g), key=lambda r: (r[0] is None, r[0] or 0))
+        want[(i, x)] += 1
+    docs = documents(spark, rows).select(pipeline.COLUMNS)
+    got = pipeline.near_dedup_stage(spark, docs, "")
+    assert got.columns == pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == want
+    assert want == Counter([(4, t[0]), (None, t[1]), (5, ""), (1, t[2]), (1, t[3]), (3, t[4]), (4, t[5]), (None, t[6]), (None, t[7])])
