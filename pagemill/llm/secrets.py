@@ -3,10 +3,12 @@
 Base spans: assignments, access keys and hexadecimal runs, leftmost and not
 overlapping per kind; matches that are too short are dropped after matching.
 
-The method adds spans of kind ``markov``: runs of key characters, not covered by a
-base span, whose log-likelihood ratio under two character bigram models (random
-strings against ordinary identifiers) is at least ``THRESHOLD`` per character.  Both
-models are trained from labelled samples: words of a bounded, hash-ordered sample
+The method adds spans of kind ``markov``: strings of key characters whose
+log-likelihood ratio under two character bigram models (random strings against
+ordinary identifiers) is at least ``THRESHOLD`` per character.  Base spans are cut
+out of each run of key characters.  A run that is strange as a whole is one span;
+of any other, and of what is left beside base spans, the segments with the largest
+sums are found, so a key in a path or an assignment stands out.  Both models are trained from labelled samples: words of a bounded, hash-ordered sample
 of documents are the identifiers, except for base matches; random strings are the
 values of base matches in it and strings drawn from the usual alphabets of keys
 with a fixed seed.
@@ -35,6 +37,7 @@ SAMPLE = 1000  # documents that the identifiers are taken from, at most
 SAMPLE_CHARS = 50_000
 RANDOM = 4000  # strings drawn
 MIN_CHARS, THRESHOLD = 16, 1.0
+DROP = 16.0  # a fall of the sum that ends a segment
 # The patterns of the base kinds and their least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -42,6 +45,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run is maximal, so this is the filtered
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ALPHABETS = ("0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_")
+_JOINTS = "/_+-"
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 
 Span = tuple[str, int, int]
@@ -75,9 +79,13 @@ class Markov:
             np.add.at(n, (c[:-1], c[1:]), 1)
         return np.log(n / n.sum(axis=1, keepdims=True))
 
-    def per_character(self, s: str) -> float:
+    def ratios(self, s: str) -> np.ndarray:
+        """What each character adds."""
         c = self._codes(s)
-        return float(self.ratio[c[:-1], c[1:]].mean()) if len(c) > 1 else 0.0
+        return self.ratio[c[:-1], c[1:]]
+
+    def per_character(self, s: str) -> float:
+        return float(self.ratios(s).mean()) if s else 0.0
 
 
 def train(texts: list[str]) -> Markov:
@@ -104,17 +112,79 @@ def train(texts: list[str]) -> Markov:
     return Markov(strange, sorted(ordinary))
 
 
+def _word(text: str, i: int) -> tuple[int, int]:
+    """The ends of the run of letters and digits around a place, or of that character alone."""
+    a, b = i, i + 1
+    if text[i].isalnum():
+        while a > 0 and text[a - 1].isalnum():
+            a -= 1
+        while b < len(text) and text[b].isalnum():
+            b += 1
+    return a, b
+
+
+def _segments(ratio: np.ndarray, text: str) -> list[tuple[int, int]]:
+    """Places of the strange segments of a piece, in one pass.
+
+    A segment ends where the sum of what its characters are over the threshold has
+    fallen by ``DROP`` from its best or to zero; no later segment starts before that
+    place, as every sum up to it is negative.  At either end a segment takes the rest
+    of a word that it holds half of, and leaves a word that it holds less of, if what
+    comes out is still strange.
+    """
+    found = []
+    start, total, best, end = 0, 0.0, 0.0, 0
+    for i, x in enumerate([*(ratio - THRESHOLD).tolist(), -np.inf]):
+        total += x
+        if total > best:
+            best, end = total, i + 1
+        elif total <= 0 or best - total > DROP:
+            if best > 0:
+                found.append((start, end))
+            start, total, best = i + 1, 0.0, 0.0
+    out: list[tuple[int, int]] = []
+    for a, b in found:
+        (x, x_end), (y_start, y) = _word(text, a), _word(text, b - 1)
+        if 2 * (min(b, x_end) - a) < x_end - x:
+            x = x_end
+        if 2 * (b - max(a, y_start)) < y - y_start:
+            y = y_start
+        if x >= y:
+            x, y = a, b
+        while y < len(text) and text[y] == "=":
+            y += 1
+        if ratio[x:y].mean() >= THRESHOLD:
+            a, b = x, y
+        a += b - a - len(text[a:b].lstrip(_JOINTS + "="))
+        b = a + len(text[a:b].rstrip(_JOINTS))
+        if out and a < out[-1][1]:
+            a = out.pop()[0]
+        if b - a >= MIN_CHARS:
+            out.append((a, b))
+    return out
+
+
+def _pieces(a: int, b: int, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """What base spans leave of a run."""
+    for x, y in sorted((x, y) for _, x, y in base if x < b and a < y):
+        if a < x:
+            yield a, x
+        a = max(a, y)
+    if a < b:
+        yield a, b
+
+
 def added_spans(text: str, base: list[Span], model: Markov) -> list[Span]:
     out = []
     for m in _RUN.finditer(text):
-        a, b = m.span()
-        run = m[0]
-        if not any(c.isdigit() for c in run) and (run.islower() or run.isupper() or run.istitle()):
-            continue  # a plain word, which the models would have to tell from nothing but letters
-        if any(x < b and a < y for _, x, y in base):
-            continue
-        if model.per_character(run) >= THRESHOLD:
-            out.append(("markov", a, b))
+        for a, b in _pieces(*m.span(), base):
+            if b - a < MIN_CHARS:
+                continue
+            ratio = model.ratios(text[a:b])
+            if (a, b) == m.span() and ratio.mean() >= THRESHOLD:
+                out.append(("markov", a, b))
+            else:
+                out += [("markov", a + x, a + y) for x, y in _segments(ratio, text[a:b])]
     return out
 
 
