@@ -8,13 +8,13 @@ log-likelihood ratio under two character bigram models (random strings against
 ordinary identifiers) is at least ``THRESHOLD`` per character.  Base spans are cut
 out of each run of key characters.  A run that is strange as a whole is one span;
 of any other, and of what is left beside base spans, the segments with the largest
-sums are found, so a key in a path or an assignment stands out.  Both models are trained from labelled samples: words of a bounded, hash-ordered sample
-of documents are the identifiers, except for base matches; random strings are the
-values of base matches in it and strings drawn from the usual alphabets of keys
-with a fixed seed.
+sums are found, so a key in a path or an assignment stands out.  Both models
+are bigram counts: the identifiers are the words of every document, each counted
+once in it, except for base matches; random strings are the values of base matches
+and strings drawn from the usual alphabets of keys with a fixed seed.
 
-One scan scores every whole text; nothing is shuffled.  Places are code points,
-ends exclusive.  A null or empty text has no spans.
+One scan counts, one scores every whole text; only counts are shuffled.  Places are
+code points, ends exclusive.  A null or empty text has no spans.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import hashlib
 import random
 import re
 import string
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +33,6 @@ from pyspark.sql import functions as F
 from pagemill.llm import words
 
 KINDS = ("assign", "access", "hex", "markov")
-SAMPLE = 1000  # documents that the identifiers are taken from, at most
-SAMPLE_CHARS = 50_000
 RANDOM = 4000  # strings drawn
 MIN_CHARS, THRESHOLD = 16, 1.0
 DROP = 16.0  # a fall of the sum that ends a segment
@@ -46,6 +44,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ALPHABETS = ("0123456789abcdef", string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits + "-_")
 _JOINTS = "/_+-"
+_WORD = re.compile(r"[A-Za-z0-9+/_=-]{3,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_CHARS)
 
 Span = tuple[str, int, int]
@@ -62,21 +61,26 @@ def base_spans(text: str) -> list[Span]:
     return out
 
 
+def _bigrams(samples: Iterable[str]) -> np.ndarray:
+    """How often each character follows another; each string starts after a zero."""
+    c = np.frombuffer(b"".join(b"\0" + s.encode("ascii", "replace") for s in samples), np.uint8) & 127
+    follows = c[1:] != 0
+    return np.bincount(c[:-1][follows].astype(np.int64) * 128 + c[1:][follows], minlength=128 * 128)
+
+
 class Markov:
-    """Log-likelihood ratio of a string: random against ordinary, by character bigrams."""
+    """Log-likelihood ratio of a string: random against ordinary, by counts of character bigrams."""
 
-    def __init__(self, strange: list[str], ordinary: list[str]):
+    def __init__(self, strange: np.ndarray, ordinary: np.ndarray):
         self.ratio = self._logs(strange) - self._logs(ordinary)
 
     @staticmethod
     def _codes(s: str) -> np.ndarray:
         return np.frombuffer(b"\0" + s.encode("ascii", "replace"), np.uint8) & 127
 
-    def _logs(self, samples: list[str]) -> np.ndarray:
-        n = np.full((128, 128), 0.05)
-        for s in samples:
-            c = self._codes(s)
-            np.add.at(n, (c[:-1], c[1:]), 1)
+    @staticmethod
+    def _logs(counts: np.ndarray) -> np.ndarray:
+        n = counts.reshape(128, 128) + 0.05
         return np.log(n / n.sum(axis=1, keepdims=True))
 
     def ratios(self, s: str) -> np.ndarray:
@@ -88,28 +92,61 @@ class Markov:
         return float(self.ratios(s).mean()) if s else 0.0
 
 
-def train(texts: list[str]) -> Markov:
-    draw = random.Random(11)
-    strange = ["".join(draw.choices(ALPHABETS[i % len(ALPHABETS)], k=draw.randint(16, 48))) for i in range(RANDOM)]
-    ordinary: set[str] = set()
+def counted(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Bigrams of the base matches and of the distinct identifiers of each text."""
+    strange: list[str] = []
+    every: list[str] = []
     for t in texts:
         spans = base_spans(t)
         strange += [t[a:b] for _, a, b in spans]
-        for a, b in reversed(sorted((a, b) for _, a, b in spans)):
-            t = f"{t[:a]} {t[b:]}"
+        left, at = [], 0
+        for a, b in sorted((a, b) for _, a, b in spans):
+            left.append(t[at : max(a, at)])
+            at = max(at, b)
+        t = " ".join([*left, t[at:]])
         # Words as they stand, joined as in identifiers, and runs of digits such as dates and numbers.
-        found = [w for w in re.findall(r"[A-Za-z0-9+/_=-]{3,}", t) if not (len(w) >= MIN_CHARS and any(c.isdigit() for c in w) and any(c.isalpha() for c in w))]
-        ordinary.update(found)
+        found = [w for w in _WORD.findall(t) if not (len(w) >= MIN_CHARS and any(c.isdigit() for c in w) and any(c.isalpha() for c in w))]
+        ordinary = set(found)
         triples = list(zip(found[::7], found[3::7], found[5::7], strict=False))
         ordinary.update("_".join(x) for x in triples)
         ordinary.update("_".join(x).upper() for x in triples)
         ordinary.update("/".join(x).lower() for x in triples)
         ordinary.update("-".join(x).lower() for x in triples)
         ordinary.update(f"{a.lower()}{b.capitalize()}{c.capitalize()}" for a, b, c in triples)
+        every += ordinary
+    return _bigrams(strange), _bigrams(every)
+
+
+def model_of(strange: np.ndarray, ordinary: np.ndarray) -> Markov:
+    """The models of counts and of strings that are drawn: at least half of what is random, a tenth of what is ordinary."""
+    draw = random.Random(11)
+    keys = _bigrams("".join(draw.choices(ALPHABETS[i % len(ALPHABETS)], k=draw.randint(16, 48))) for i in range(RANDOM))
+    plain = []
     for _ in range(RANDOM // 2):  # plain numbers and dates are ordinary too
-        ordinary.add("".join(draw.choices(string.digits, k=draw.randint(2, 20))))
-        ordinary.add(f"{draw.randint(1970, 2039)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}T{draw.randint(0, 23):02}-{draw.randint(0, 59):02}-{draw.randint(0, 59):02}")
-    return Markov(strange, sorted(ordinary))
+        plain.append("".join(draw.choices(string.digits, k=draw.randint(2, 20))))
+        plain.append(f"{draw.randint(1970, 2039)}-{draw.randint(1, 12):02}-{draw.randint(1, 28):02}T{draw.randint(0, 23):02}-{draw.randint(0, 59):02}-{draw.randint(0, 59):02}")
+    numbers = _bigrams(plain)
+    return Markov(keys + strange * min(1, keys.sum() / max(1, strange.sum())), ordinary + numbers * max(1, ordinary.sum() / (10 * numbers.sum())))
+
+
+def train(texts: list[str]) -> Markov:
+    return model_of(*counted(texts))
+
+
+def corpus_model(rows: DataFrame) -> Markov:
+    """The model of the column ``text`` of all rows: sums of at most 2 * 128 * 128 counts a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * 128 * 128, np.int64)
+        for batch in words.small(batches, 64):
+            total += np.concatenate(counted(batch.column("text").to_pylist()))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bigram", "n"])
+
+    total = np.zeros(2 * 128 * 128)
+    for r in rows.select("text").mapInArrow(run, "bigram long, n long").groupBy("bigram").agg(F.sum("n").alias("n")).collect():
+        total[r.bigram] = r.n
+    return model_of(*np.split(total, 2))
 
 
 def _word(text: str, i: int) -> tuple[int, int]:
@@ -199,10 +236,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, their digest, all spans, and the number added."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sample = rows.where(F.length("text").between(1, SAMPLE_CHARS)).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(SAMPLE)
-    chosen = [r.doc_id for r in sample.collect()]
-    texts = [r.text for r in rows.where(F.col("doc_id").isin(chosen) & (F.length("text") <= SAMPLE_CHARS)).collect()] if chosen else []
-    model = train(sorted(set(texts)))
+    model = corpus_model(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in words.small(batches):

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -247,6 +248,19 @@ def test_markov_finds_keys_inside_runs():
     assert not any(found(s) for s in [path, path.upper(), *("".join(words(i, 6)) for i in range(500, 505)), "_".join(words(600, 40))])
 
 
+def test_markov_learns_the_identifiers_of_every_document(spark):
+    r = random.Random(8)
+    up = string.ascii_lowercase
+    some = lambda letters, n: [letters[k : k + r.randint(3, 8)] for k in r.choices(range(20), k=n)]
+    odd = some(up[::-1], 12_000)
+    rows = [(i, " ".join(some(up, 60))) for i in range(30)] + [(90, " ".join(odd)), (91, f"see {'_'.join(odd[:6])} and Zk3vQ9xW7tLp2RsB8nYd4HcJ6mGf {' '.join(some(up, 12_000))}")]
+    assert min(len(t) for _, t in rows[-2:]) > 50_000
+    for n in (1, 3):
+        got = {r.doc_id: r for r in secrets.find_secrets(documents(spark, rows).repartition(n)).collect()}
+        assert got[91].n_markov == 1
+        assert sum(r.n_markov for r in got.values()) == 1
+
+
 # -- pipeline
 
 
