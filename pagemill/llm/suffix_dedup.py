@@ -1,11 +1,13 @@
-"""Operator 1: removal of repeated byte strings by distributed prefix doubling.
+"""Operator 1: removal of repeated byte strings by hashed names and minimiser anchors.
 
 A position's rank for its first 2L bytes is a function of the pair (rank at p,
 rank at p + L); for lengths that are no power of two the second rank starts
 earlier and overlaps.  Ranks here are names: the exact eight bytes at first,
 then 64-bit mixtures of the pair (plus an independent 32-bit check), so equal
-strings get equal names in every task without a global renumbering.  Spark sorts
-the names in three rounds, and what has become unique takes no part in the next:
+strings get equal names in every task without a global renumbering.  All
+lengths are named inside a block; there is no Spark sort of ranks and no rerank.
+Names are matched by hash bucket in three rounds, sorted by numpy in the workers,
+and what has become unique takes no part in the next:
 
 1. length 24, at the *anchors*: of the 27 strings of 24 bytes inside a window of
    50, the one with the smallest name.  Equal windows have equal anchors, so a
