@@ -9,9 +9,10 @@ half differs by at most ``radius // 2`` bits.  Each half has a vantage-point tre
 over the distances of its own bits.  A fingerprint's home is the leaf that its
 distances lead to; with the triangle bounds it visits every leaf that may hold a
 partner, so only fingerprints near a boundary go to several shards.  A leaf
-compares homes with visitors on all 64 bits.  The trees are fitted on a bounded
-sample (``SAMPLE`` fingerprints); every fingerprint is placed in them, and a bad
-sample costs time, never links.
+compares homes with visitors on all 64 bits.  The trees are fitted on a
+sample that grows with the number of leaves (``PER_LEAF``), so leaves stay at about
+``LEAF`` homes; every fingerprint is placed in them, and a bad sample costs time,
+never links.
 
 Only distinct fingerprints are searched, so exact copies add nothing.  A leaf
 emits a spanning forest of its links, at most one row per fingerprint, and grows
@@ -39,8 +40,10 @@ from pagemill.llm import components, words
 
 SEED = 42
 SHINGLE = 3
-SAMPLE = 4096  # fingerprints that the trees are fitted on, at most
+SAMPLE = 4096  # fingerprints that the trees are fitted on, at least
 LEAF = 1024  # homes wanted in a leaf
+PER_LEAF = 16  # fingerprints of the sample for each leaf wanted
+PAIRS = 1 << 30  # of a leaf that are all compared at first, at most
 _U = np.uint64
 HALVES = (_U(0x00000000FFFFFFFF), _U(0xFFFFFFFF00000000))
 _hash = partial(xxhash.xxh64_intdigest, seed=SEED)
@@ -120,9 +123,9 @@ def _forest(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[in
     fps, first = np.unique(fps, return_index=True)
     home = home[first]
     rest = np.arange(len(fps))
-    if len(fps) <= 4 * LEAF * 8:
+    at_home = np.flatnonzero(home)
+    if len(at_home) * len(fps) <= PAIRS:
         lonely = np.ones(len(fps), bool)
-        at_home = np.flatnonzero(home)
         step = max(1, (1 << 21) // max(1, len(fps)))
         for i in range(0, len(at_home), step):
             rows = at_home[i : i + step]
@@ -149,14 +152,20 @@ def _forest(fps: np.ndarray, home: np.ndarray, radius: int) -> Iterator[tuple[in
                 yield int(fps[x]), int(fps[seed])
 
 
+def _fitted(n: int, leaf: int) -> tuple[int, int]:
+    """The size of the sample and the depth of the trees for n fingerprints."""
+    size, depth = max(SAMPLE, PER_LEAF * n // leaf), 0
+    while n / (1 << depth) > leaf and (size >> depth) > 8:
+        depth += 1
+    return size, depth
+
+
 def links(spark: SparkSession, distinct: DataFrame, radius: int = 3, leaf: int = LEAF) -> DataFrame:
     """(a, b): links that span the components of the column ``fp`` of distinct fingerprints."""
     n = distinct.count()
-    sample = distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()  # bounded by SAMPLE
-    points = np.array([r.fp for r in sample], np.int64).view(np.uint64)
-    depth = 0
-    while n / (1 << depth) > leaf and (SAMPLE >> depth) > 8:
-        depth += 1
+    size, depth = _fitted(n, leaf)
+    sample = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(max(1, n // size))) == 0).select("fp").toArrow()  # 8 bytes each, n / 64 of them
+    points = sample.column("fp").to_numpy().view(np.uint64)
     trees = [Tree(points, mask, depth) for mask in HALVES]
     slack = radius // len(trees)
 

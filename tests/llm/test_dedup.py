@@ -151,6 +151,18 @@ def test_vantage_point_links(spark, leaf):
     assert {p: points[g] for p, g in zip(points, group, strict=True)} == label
 
 
+def test_leaves_stay_small_at_any_size(spark, monkeypatch):
+    for n in (1 << 18, 1 << 24, 1 << 30):
+        assert n >> simhash_dedup._fitted(n, 1024)[1] <= 1024
+    monkeypatch.setattr(simhash_dedup, "SAMPLE", 64)
+    r = np.random.RandomState(6)
+    points = np.unique(np.concatenate([x := r.randint(0, 1 << 62, 3000, dtype=np.int64), x[:400] ^ 5])).tolist()
+    found = simhash_dedup.links(spark, spark.createDataFrame([(p,) for p in points], "fp long"), 3, 16)
+    got = components.connected(found).collect()
+    label = {p: p for p in points} | {x.node: x.label for x in got}
+    assert {p: points[g] for p, g in zip(points, brute_components(points), strict=True)} == label
+
+
 def test_components_of_a_path_and_a_star(spark):
     components.shared_folder(spark)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 300)] + [(500, 500)]
