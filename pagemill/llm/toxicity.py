@@ -34,6 +34,8 @@ ORDINARY, TOXIC = 20_000, 200
 STARTS = range(4, 11)  # characters of a word start, the space before it included
 RATIO, SHARE = 10, 0.015  # of a start: how much more frequent in toxic texts, in what share of them at least
 GAINS = np.arange(1, 10)
+_PRIME = (1 << 61) - 1
+_MINIMA = (1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _PARAMETERS = {"window_log": 18, "hash_log": 16, "chain_log": 16, "search_log": 6, "min_match": 5, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2, "write_content_size": 0, "write_checksum": 0, "write_dict_id": 0}
 
 
@@ -52,7 +54,7 @@ def dictionaries(texts: list[str], labels: list[int]) -> tuple[bytes, bytes]:
     for t, y in zip(texts, labels, strict=True):
         if y:
             toxic.update(_starts(t))
-    least = max(4, SHARE * n[1])
+    least = max(min(4, (n[1] + 1) // 2), SHARE * n[1])
     toxic = {w: c for w, c in toxic.items() if c >= least}
     other, common = Counter(), Counter()
     for t, y in zip(texts, labels, strict=True):
@@ -124,15 +126,21 @@ class Constant:
 
 
 def _distinct(texts: list[str], labels: list[int]) -> tuple[list[str], list[int]]:
-    """One of each group of near copies: copies would make their own words look typical."""
+    """One of each group of near copies: copies would make their own words look typical.
+
+    Two texts of a class are copies if two of three minima over their 5-word shingles
+    are equal, so a shared passage alone seldom makes copies of them.
+    """
     seen, out = set(), ([], [])
     for t, y in zip(texts, labels, strict=True):
         w = t.split()
-        key = (y, min((hash_of(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))), default=0))
-        if key not in seen:
-            seen.add(key)
+        found = [hash_of(" ".join(w[i : i + 5]).encode()) for i in range(max(1, len(w) - 4))]
+        least = [min((h * m) % _PRIME for h in found) for m in _MINIMA]
+        keys = {(y, i, least[i], least[i - 1]) for i in range(3)}
+        if not keys & seen:
             out[0].append(t)
             out[1].append(y)
+        seen |= keys
     return out
 
 
@@ -140,12 +148,14 @@ def fit(texts: list[str], labels: list[int], natural: float | None = None) -> Mo
     """``natural``: the share of toxic rows among all labelled ones, if the sample's is another."""
     texts, labels = _distinct(texts, labels)
     y = np.array(labels, float)
-    if min(y.sum(), (1 - y).sum()) < 8:
+    few = min(y.sum(), (1 - y).sum())
+    if few < 1:
         return Constant(float(len(y) > 0 and y.mean() > 0.5))
     x = np.zeros((len(y), 2 * len(GAINS) + 1))
+    place = np.where(y == 1, np.cumsum(y), np.cumsum(1 - y)).astype(int)  # within its class, so that either half has both
     for half in (0, 1):
-        mine = [i for i in range(len(y)) if i % 2 == half]
-        rest = [i for i in range(len(y)) if i % 2 != half]
+        mine = [i for i in range(len(y)) if place[i] % 2 == half]
+        rest = [i for i in range(len(y)) if place[i] % 2 != half]
         gains = Gains(*dictionaries([texts[i] for i in rest], [labels[i] for i in rest]))
         for i in mine:
             x[i] = gains.features(texts[i])
@@ -153,10 +163,10 @@ def fit(texts: list[str], labels: list[int], natural: float | None = None) -> Mo
     x = (x - mean) / scale
     share = y.mean() if natural is None else min(max(natural, 0.01), 0.99)
     prior = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    w, b = np.zeros(x.shape[1]), 0.0
+    w, b, ridge = np.zeros(x.shape[1]), 0.0, 1e-3 * max(1, 8 / few)
     for _ in range(2000):
         e = (1 / (1 + np.exp(-(x @ w + b))) - y) * prior
-        w -= 0.5 * (x.T @ e / len(y) + 1e-3 * w)
+        w -= 0.5 * (x.T @ e / len(y) + ridge * w)
         b -= 0.5 * e.mean()
     return Model(Gains(*dictionaries(texts, labels)), mean, scale, w, float(b))
 

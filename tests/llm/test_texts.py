@@ -167,6 +167,17 @@ def test_labels_of_held_out_rows_are_not_seen(spark):
     assert {t.decode() for t in texts} == {t for i, t in rows if i not in held_out(rows)}
 
 
+def test_toxicity_with_a_small_class_and_a_shared_passage():
+    passage = " ".join(words(7000, 40))
+    bad = [f"{toxic_text(i)} {passage}" for i in range(40)]
+    clean = [clean_text(i) for i in range(1000, 1200)]
+    others = [toxic_text(i) for i in range(2000, 2040)], [clean_text(i) for i in range(3000, 3040)]
+    for toxic in (bad, [toxic_text(i) for i in range(6)]):
+        model = toxicity.fit(toxic + clean, [1] * len(toxic) + [0] * len(clean))
+        found, marked = (model.score([t.encode() for t in x]) for x in others)
+        assert found.min() > marked.max()
+
+
 # -- 5
 
 
