@@ -46,7 +46,7 @@ def _long(x: int) -> Column:
     return F.lit(x).cast("long")
 
 
-def _votes(terms: DataFrame, keys: list[str]) -> DataFrame:
+def votes(terms: DataFrame, keys: list[str]) -> DataFrame:
     """keys, and ``fp``; ``terms`` has the keys, pos, h and w."""
     lanes = [F.sum((F.shiftright("h", 4 * j).bitwiseAND(_long(15)) * _long(_SPREAD)).bitwiseAND(_long(_LANES)) * F.col("w")).alias(f"s{j}") for j in range(16)]
     chunks = terms.groupBy(*keys, (F.col("pos") / CHUNK).cast("int").alias("chunk")).agg(*lanes, F.sum("w").alias("w"))
@@ -76,8 +76,8 @@ def fingerprints(rows: DataFrame, keys: list[str], texts: str = "texts") -> Data
     terms = each.select(*keys, "which", F.posexplode(_terms(F.col("text"))).alias("pos", "term"))
     size = F.length("term")  # an empty term, as each text without terms has, weighs nothing
     weight = F.when(size == 0, 0).when(size <= SHORT, 1).otherwise(F.least(size, F.lit(HEAVY)))
-    votes = terms.select(*keys, "which", "pos", F.xxhash64("term").alias("h"), weight.cast("long").alias("w"))
-    return _votes(votes, [*keys, "which"])
+    weighed = terms.select(*keys, "which", "pos", F.xxhash64("term").alias("h"), weight.cast("long").alias("w"))
+    return votes(weighed, [*keys, "which"])
 
 
 def _below(groups: DataFrame) -> DataFrame:

@@ -145,24 +145,55 @@ def test_vantage_point_links(spark, leaf):
             points.add(x)
     points = sorted(points)
     df = spark.createDataFrame([(p,) for p in points], "fp long")
-    got = components.connected(simhash_dedup.links(spark, df, 3, leaf)).collect()
+    got = components.connected(simhash_dedup.links(df, 3, leaf)).collect()
     label = {p: p for p in points} | {x.node: x.label for x in got}
     group = brute_components(points)
     assert {p: points[g] for p, g in zip(points, group, strict=True)} == label
 
 
-def test_leaves_stay_small_at_any_size(spark, monkeypatch):
-    for n in (1 << 18, 1 << 24, 1 << 30):
-        assert n >> simhash_dedup._fitted(n, 1024)[1] <= 1024
-    monkeypatch.setattr(simhash_dedup, "SAMPLE", 64)
+def flipped(r, x, most, bits):
+    for b in r.choice(bits, r.randint(1, most + 1), replace=False):
+        x ^= 1 << int(b)
+    return x
+
+
+def hard_points(kind):
+    """Fingerprints that a tree tells apart badly: one half in common, a dense ball, or far apart beside a ball."""
     r = np.random.RandomState(6)
-    points = np.unique(np.concatenate([x := r.randint(0, 1 << 62, 3000, dtype=np.int64), x[:400] ^ 5])).tolist()
-    found = simhash_dedup.links(spark, spark.createDataFrame([(p,) for p in points], "fp long"), 3, 16)
-    got = components.connected(found).collect()
+    if kind == "one half":
+        return {int(x) << 32 | 12345 for x in r.randint(0, 1 << 30, 900)} | {flipped(r, 77 << 40 | 12345, 3, range(32, 62)) for _ in range(100)}
+    if kind == "ball":
+        return {flipped(r, 0, 5, 62) for _ in range(1200)}
+    x = r.randint(0, 1 << 62, 1500, dtype=np.int64)
+    return {*x.tolist(), *(x[:200] ^ 5).tolist(), *(flipped(r, 1 << 50, 4, 62) for _ in range(300))}
+
+
+@pytest.mark.parametrize("kind", ["one half", "ball", "far apart"])
+def test_leaves_stay_small(spark, monkeypatch, kind):
+    """However badly the first trees fit, no leaf is over-full, and no link is lost."""
+    monkeypatch.setattr(simhash_dedup, "_fitted", lambda n, leaf: (64, 2))
+    monkeypatch.setattr(simhash_dedup, "MEMBERS", 100)
+    components.shared_folder(spark)
+    points, most = sorted(hard_points(kind)), 120
+    df = spark.createDataFrame([(p,) for p in points], "fp long").checkpoint()
+    sizes = simhash_dedup.leaves(df, 3, 24, most).groupBy("leaf").count().collect()
+    assert max(r["count"] for r in sizes) <= 1.6 * most
+    got = components.connected(simhash_dedup.links(df, 3, 24, most)).collect()
     label = {p: p for p in points} | {x.node: x.label for x in got}
     assert {p: points[g] for p, g in zip(points, brute_components(points), strict=True)} == label
 
 
+def test_the_sample_of_the_first_trees_is_bounded():
+    for n in (1 << 10, 1 << 20, 1 << 40):
+        assert simhash_dedup._fitted(n, 1024)[0] <= simhash_dedup.SAMPLE
+
+
+def test_fingerprints_of_odd_texts(spark):
+    rows = [(1, None), (2, ""), (3, " \n\t"), (4, "One"), (5, "one TWO"), (6, " a\x0bb\x0cc\rd  "), (7, "ÀÉ é\u00a0x y z"), (8, "w " * 30000), (9, "tab\tÉ " * 7), (None, "q")]
+    got = simhash_dedup.fingerprints(documents(spark, rows)).collect()
+    assert {(r.doc_id, r.fp & (1 << 64) - 1) for r in got} == {(i, brute_fp(t)) for i, t in rows}
+
+
 def test_components_of_a_path_and_a_star(spark):
     components.shared_folder(spark)
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 300)] + [(500, 500)]
