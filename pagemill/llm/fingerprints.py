@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from pagemill.llm import components
+from pagemill.llm import components, tables
 
 SHORT, HEAVY, CHUNK = 3, 12, 2048
 RANGE = 256
@@ -94,7 +94,7 @@ def _below(groups: DataFrame) -> DataFrame:
 
 def edited(docs: DataFrame) -> DataFrame:
     """Each row with its place (g, rn), its text, the next row's key and its edited text."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("g", F.shiftright(F.coalesce("doc_id", _long((1 << 63) - 1)), RANGE.bit_length() - 1))
     order = W.partitionBy("g").orderBy(F.desc_nulls_first("doc_id"), "tie")
     # What follows reads this twice with the same columns, so that its exchange is made once.

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm import labelled, words
+from pagemill.llm import labelled, tables, words
 
 BITS = 18
 SCALE = 30.0
@@ -144,7 +144,8 @@ def accepted(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame
             texts = [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(model.score(texts) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    rows = tables.named(docs, "text")
+    return rows.mapInArrow(run, rows.schema).toDF(*docs.columns)
 
 
 def scored(docs: DataFrame, score, threshold: float) -> DataFrame:
@@ -155,5 +156,5 @@ def scored(docs: DataFrame, score, threshold: float) -> DataFrame:
             s = score(batch.column("text").cast(pa.binary()).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (labelled.fold() == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), (labelled.fold() == 0).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")

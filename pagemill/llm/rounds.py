@@ -37,9 +37,12 @@ def count_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def in_blocks(docs: DataFrame, n: int, extra: list[str] | None = None) -> DataFrame:
-    """block, doc_id, text (null as empty); with ``extra``, also was_null and those columns as x_name."""
-    key = F.xxhash64(F.col("doc_id"), F.lit(7))
-    more = [F.col("text").isNull().alias("was_null"), *(F.col(c).alias(f"x_{c}") for c in extra)] if extra is not None else []
+    """block, doc_id, text (null as empty); with ``extra``, also was_null and those columns.
+
+    The block is a hash of doc_id and text, so rows with null or repeated ids spread.
+    """
+    key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"), F.lit(7))
+    more = [F.col("text").isNull().alias("was_null"), *(F.col(c) for c in extra)] if extra is not None else []
     return docs.select(F.pmod(key, F.lit(n)).cast("int").alias("block"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)
 
 

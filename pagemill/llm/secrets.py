@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm import words
+from pagemill.llm import tables, words
 
 KINDS = ("assign", "access", "hex", "markov")
 RANDOM = 4000  # strings drawn
@@ -235,7 +235,7 @@ _ARROW = pa.schema([("doc_id", pa.int64()), ("n_assign", pa.int64()), ("n_access
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """Per document: counts of the base kinds, their digest, all spans, and the number added."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     model = corpus_model(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,6 +28,7 @@ that itself holds U+2581 decodes with spaces there, as the format has it.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -36,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm import words
+from pagemill.llm import tables, words
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -154,19 +155,33 @@ class Encoder:
 
     def _merged(self, s: str) -> list[int]:
         """The encoding by merging the best pair, the leftmost first, until none is left."""
-        parts, ids, scores = list(s), self.id, self.v.scores
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or scores[k] > best):
-                    best, at = scores[k], i
-            if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        parts: list[str | None] = list(s)
+        ids, scores, n = self.id, self.v.scores, len(s)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        pairs: list[tuple[float, int, str]] = []  # (-score, place of the left one, what comes out)
+
+        def ask(i: int, j: int) -> None:
+            k = ids.get(parts[i] + parts[j])
+            if k is not None:
+                heapq.heappush(pairs, (-scores[k], i, parts[i] + parts[j]))
+
+        for i in range(n - 1):
+            ask(i, i + 1)
+        while pairs:
+            _, i, made = heapq.heappop(pairs)
+            j = after[i] if parts[i] is not None else n
+            if j >= n or parts[i] + parts[j] != made:
+                continue  # one of the two has been merged since
+            parts[i], parts[j], after[i] = made, None, after[j]
+            if after[i] < n:
+                before[after[i]] = i
+                ask(i, after[i])
+            if before[i] >= 0:
+                ask(before[i], i)
         out: list[int] = []
         for p in parts:
-            out += [ids[p]] if p in ids else [self.v.byte_ids[b] for b in p.encode()]
+            if p is not None:
+                out += [ids[p]] if p in ids else [self.v.byte_ids[b] for b in p.encode()]
         return out
 
     def _stay(self, a: int, b: int) -> bool:
@@ -308,7 +323,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 column = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(offsets)), column], ["doc_id", "n_pieces", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_pieces int, ids array<int>")
+    return tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_pieces int, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -318,7 +333,7 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         for batch in words.small(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([vocabulary.decode(x or []) for x in batch.column("ids").to_pylist()], pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
+    return tables.named(encoded, "doc_id", "ids").select(F.col("doc_id").cast("long").alias("doc_id"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
 REPORT = "doc_id long, n_pieces int, ids_sha256 string, decoded_sha256 string, exact boolean"
@@ -338,7 +353,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             cols = list(zip(*rows, strict=True)) if rows else [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, REPORT)
+    return tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, REPORT)
 
 
 _ENCODED = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int32()), ("ids", pa.list_(pa.int32())), ("exact", pa.bool_())])
@@ -357,4 +372,4 @@ def encoded_exactly(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 exact = pa.array([vocabulary.decode(x) == t for x, t in zip(ids, texts[a:b], strict=True)])
                 yield pa.RecordBatch.from_arrays([at.slice(a, b - a), pa.array(np.diff(offsets)), column, exact], schema=_ENCODED)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_pieces int, ids array<int>, exact boolean")
+    return tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, n_pieces int, ids array<int>, exact boolean")

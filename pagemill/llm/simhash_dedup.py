@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm import components
+from pagemill.llm import components, tables
 from pagemill.llm.fingerprints import votes
 
 SHINGLE = 3
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, keys: dict[str, Column] | None = None, size: i
     """(doc_id, keys, fp) of each row: fp is the fingerprint as a signed long; keys are further long columns."""
     names = ["row", "doc_id", *(keys or {})]
     text = F.btrim(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(_SPACE))
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in (keys or {}).items()), text.alias("text"))
+    rows = tables.named(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in (keys or {}).items()), text.alias("text"))
     each = rows.select(*names, F.when(F.col("text") == "", 0).otherwise(1).cast("long").alias("w"), F.posexplode(_shingles(F.col("text"), size)).alias("pos", "s"))
     shingle = F.concat_ws(" ", *(F.col(f"s.w{i}") for i in range(size)))
     return votes(each.select(*names, "pos", "w", F.xxhash64(shingle).alias("h")), names).drop("row")
@@ -308,11 +308,12 @@ def first_rows(docs: DataFrame, radius: int = 3) -> DataFrame:
     exchange), however many there are.
     """
     components.shared_folder(docs.sparkSession)
+    rows = tables.named(docs, "doc_id", "text")
     keys = {f"key{i}": F.xxhash64(F.lit(i), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text") for i in (1, 2)}
-    fps = fingerprints(docs, keys).checkpoint()
+    fps = fingerprints(rows, keys).checkpoint()
     of = _labelled(fps, F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)), radius)
     kept = of.groupBy("label").agg(F.min("least").alias("least")).select(*(F.col(f"least.{k}").alias(k) for k in keys))
-    rest = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.select(F.struct("*").alias("whole"), F.xxhash64(F.lit(0), *rest).alias("rest"), *(c.alias(k) for k, c in keys.items()))
-    one = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("rest"))).where("copy = 1")
-    return one.join(kept, list(keys), "left_semi").select("whole.*")
+    rest = F.xxhash64(F.lit(0), *(F.col(c) for c in tables.others(rows)))
+    marked = rows.select("*", rest.alias("rest"), *(c.alias(k) for k, c in keys.items())).join(kept, list(keys), "left_semi")
+    one = marked.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("rest"))).where("copy = 1")
+    return one.select(rows.columns).toDF(*docs.columns)

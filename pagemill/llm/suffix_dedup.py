@@ -33,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from pagemill.llm import rounds
+from pagemill.llm import rounds, tables
 
 ANCHOR = 24  # bytes of an anchor: three exact 8-byte ranks
 CHUNK = 256 << 10  # bytes whose arrays are worked on at once
@@ -303,6 +303,7 @@ def dedup_substrings(docs: DataFrame, length: int = 50, block_bytes: int = round
     """
     if length < 33:
         raise ValueError("length must be at least 33")
+    docs = tables.named(docs, "doc_id", "text")
     n = rounds.count_blocks(docs, block_bytes)
     blocks = rounds.in_blocks(docs, n)
 
