@@ -1,199 +1,214 @@
 """Operator 6: removal of lines that many documents hold, by two Bloom filters.
 
-Round 1: each block sends the 64-bit hashes of its distinct line keys; a bucket
-of the hash space feeds them to two Bloom filters, one of hashes seen once and
-one of hashes seen again, sized to what the bucket received.  Round 2: only keys
-that the second filter suspects (or that the block itself holds often) travel as
-text, with the number of documents of the block that hold them and the smallest
-place; the bucket adds the counts up per exact key.  Round 3: blocks drop lines.
-A false positive of a filter costs one key's text on the wire, never a result.
-
-A key that every document holds travels once per block (rounds.py), so no bucket
-receives more than one entry per key and block.
+Scan 1: every task sets the hashes of each document's distinct line keys in two
+filters, of hashes seen once and of hashes seen again; bits travel, not hashes, and
+are merged per range of the filter (bloom.py).  Scan 2: only keys that the second
+filter suspects travel as text, with the number of documents that hold them and the
+smallest doc_id, added up per task first; sums per exact key decide.  Scan 3: lines
+are dropped where they stand.  A false positive costs a key's text on the wire, never
+a result.
+
+What scan 3 must know are the keys that go.  Up to ``SENT`` bytes of them are sent
+to all tasks, and the texts are not shuffled at all.  Beyond that, suspected lines are
+joined with these keys, and the places found are joined with the rows; results are
+the same either way.
+
+A key that every document holds travels once per task, so no sum sees more than one
+entry per key and task.
 
 ``mode="drop"`` removes all lines of a key found in at least ``min_docs``
 documents; ``mode="first"`` keeps the first occurrence: of the document with
 the smallest doc_id, there the first line.
 
 Ties and edges: a document is a row, so repeated rows count each; a null text is
-one empty line; keys under ``min_chars`` code points are never dropped; in mode
-"first", rows that tie in doc_id and are in one block keep the first row's line.
+one empty line; a null doc_id is larger than any other; keys under ``min_chars`` code
+points are never dropped; in mode "first", rows that tie in doc_id keep the first line
+of a key each.  An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from pagemill.llm import rounds
+from pagemill.llm import bloom, components, tables, words
 
 _U = np.uint64
-STRIP = b" \t\n\x0b\x0c\r"
-PROBES, BITS_PER_KEY = 4, 16
+SENT = 4 << 20  # bytes of keys that are sent to all tasks, at most
+TOLD = 50_000  # keys that a task adds up before it tells
+LAST = (1 << 63) - 1  # stands for a null doc_id
 FIELDS = [("doc_id", LongType()), ("n_lines", LongType()), ("n_dropped", LongType()), ("kept_sha256", StringType()), ("kept_text", StringType()), ("was_null", BooleanType())]
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string()), ("kept_text", pa.string())])
-
-
-class Bloom:
-    """A Bloom filter over 64-bit hashes, in numpy."""
-
-    def __init__(self, n_keys: int):
-        self.size = _U(max(64, n_keys * BITS_PER_KEY))
-        self.on = np.zeros(int(self.size), bool)
-
-    def _places(self, hashes: np.ndarray) -> np.ndarray:
-        step = (hashes * _U(0x9E3779B97F4A7C15)) | _U(1)
-        return np.stack([(hashes + _U(i) * step) % self.size for i in range(PROBES)])
-
-    def has(self, hashes: np.ndarray) -> np.ndarray:
-        return self.on[self._places(hashes)].all(axis=0)
-
-    def add(self, hashes: np.ndarray) -> None:
-        self.on[self._places(hashes).ravel()] = True
-
-
-def _suspects(payloads: list[bytes]) -> list[bytes]:
-    """A bit per hash: in the filter of hashes that came again."""
-    parts = [np.frombuffer(p, np.uint64) for p in payloads]
-    total = sum(map(len, parts))
-    once, twice = Bloom(total), Bloom(total)
-    for x in parts:  # a block's hashes are distinct
-        twice.add(x[once.has(x)])
-        once.add(x)
-    return [rounds.bits(twice.has(x)) for x in parts]
-
-
-def _pack(keys: list[bytes], counts: list[int], firsts: list[int]) -> bytes:
-    sizes = np.fromiter(map(len, keys), "<u4", len(keys))
-    head = np.array([len(keys)], "<i8").tobytes()
-    return head + sizes.tobytes() + np.array(counts, "<i8").tobytes() + np.array(firsts, "<i8").tobytes() + b"".join(keys)
-
-
-def _unpack(blob: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, "<i8", 1)[0])
-    ends = np.cumsum(np.frombuffer(blob, "<u4", n, 8).astype(np.int64)) + 8 + 20 * n
-    counts, firsts = np.frombuffer(blob, "<i8", n, 8 + 4 * n), np.frombuffer(blob, "<i8", n, 8 + 12 * n)
-    starts = [8 + 20 * n, *ends.tolist()]
-    return [blob[a:b] for a, b in zip(starts, starts[1:], strict=False)], counts, firsts
-
-
-def _decide(least: int):
-    def decide(payloads: list[bytes]) -> list[bytes]:
-        """Per key: the number of documents reaches ``least``; the smallest doc_id that holds it."""
-        parts = [_unpack(p) for p in payloads]
-        n: dict[bytes, int] = {}
-        first: dict[bytes, int] = {}
-        for keys, counts, firsts in parts:
-            for k, c, f in zip(keys, counts.tolist(), firsts.tolist(), strict=True):
-                n[k] = n.get(k, 0) + c
-                first[k] = min(f, first.get(k, f))
-        return [rounds.bits(np.array([n[k] >= least for k in keys], bool)) + np.array([first[k] for k in keys], "<i8").tobytes() for keys, _, _ in parts]
-
-    return decide
-
-
-class _Block:
-    def __init__(self, table: pa.Table, n_buckets: int, min_chars: int):
-        self.ids, self.none, texts = rounds.rows_of(table)
-        self.lines = [t.split(b"\n") for t in texts]
-        count: dict[bytes, int] = {}
-        first: dict[bytes, int] = {}
-        for i, lines in zip(self.ids.tolist(), self.lines, strict=True):
-            for k in {line.strip(STRIP).lower() for line in lines}:
-                count[k] = count.get(k, 0) + 1
-                if i < first.get(k, i + 1):
-                    first[k] = i
-        keys = [k for k in count if k and (min_chars < 2 or len(k.decode()) >= min_chars)]
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, keys), np.uint64, len(keys))
-        order = np.argsort(hashes, kind="stable")
-        hashes = hashes[order]
-        # Two keys of one hash share its place: the filters see a hash once a block.
-        self.hashes, at = np.unique(hashes, return_inverse=True)
-        self.keys = [keys[i] for i in order.tolist()]
-        self.place = at
-        self.count, self.first = count, first
-        self.buckets = rounds.bucket_of(self.hashes, n_buckets).astype(np.int64)
-
-    def suspects(self, got: dict[int, bytes], least: int) -> list[tuple[int, list[bytes]]]:
-        """Keys to be confirmed, by bucket, in a fixed order."""
-        bit = np.zeros(len(self.hashes), bool)
-        for bucket, at in rounds.split_sorted(self.buckets):
-            bit[at] = rounds.unbits(got[bucket], at.stop - at.start)
-        out: dict[int, list[bytes]] = {}
-        for k, place in zip(self.keys, self.place.tolist(), strict=True):
-            if bit[place] or self.count[k] >= least:
-                out.setdefault(int(self.buckets[place]), []).append(k)
-        return sorted((b, sorted(ks)) for b, ks in out.items())
-
-
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: str = "drop", block_bytes: int = rounds.BLOCK_BYTES) -> DataFrame:
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+class Lines:
+    """The lines of some texts, their keys and the hashes of these."""
+
+    def __init__(self, texts: list[bytes]):
+        self.data = b"\n".join(texts)
+        self.lower = self.data.lower()
+        array = np.frombuffer(self.lower, np.uint8)
+        feeds = np.flatnonzero(array == 10)
+        self.starts, self.ends = np.concatenate([[0], feeds + 1]), np.append(feeds, len(array))
+        begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(self.starts, begins)  # of each text its first line; one more at the end
+        self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
+        solid = np.append(np.flatnonzero(~_SPACE[array]), len(array))
+        at = np.searchsorted(solid, self.starts)
+        self.a = np.minimum(solid[at], self.ends)
+        self.z = np.maximum(solid[np.searchsorted(solid, self.ends) - 1] + 1, self.a) if len(solid) > 1 else self.a
+        self.z = np.where(self.a == self.ends, self.a, self.z)
+        self.hash = words.hashes(array, self.a, self.z)
+        self.chars = np.cumsum(np.append(0, (array & 0xC0) != 0x80))
+
+    def long(self, min_chars: int) -> np.ndarray:
+        """Lines whose key has at least ``min_chars`` code points, and is not empty."""
+        return np.flatnonzero(self.chars[self.z] - self.chars[self.a] >= max(1, min_chars))
+
+    def distinct(self, which: np.ndarray) -> np.ndarray:
+        """Of these lines the first of each hash in its document."""
+        order = which[np.lexsort((which, self.hash[which], self.doc[which]))]
+        new = np.ones(len(order), bool)
+        new[1:] = (self.hash[order[1:]] != self.hash[order[:-1]]) | (self.doc[order[1:]] != self.doc[order[:-1]])
+        return order[new]
+
+    def key(self, i: int) -> bytes:
+        return self.lower[self.a[i] : self.z[i]]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Lines]]:
+    for batch in words.small(batches):
+        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        for a, b in words.chunks(texts):
+            yield batch.slice(a, b - a), Lines(texts[a:b])
+
+
+def _suspects(rows: DataFrame, min_chars: int) -> bloom.Filter:
+    """The filter of the hashes of keys that came in two documents at least."""
+    size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        for _, x in _chunks(iter([batch])):
+            yield x.hash[x.distinct(x.long(min_chars))]
+
+    return bloom.built(rows.select("text"), hashes, bloom.bits_for(size // 64), again=True)
+
+
+def _often(rows: DataFrame, seen: bloom.Filter, least: int, min_chars: int) -> DataFrame:
+    """key, first: the keys that ``least`` documents hold, and the smallest doc_id of these."""
+
+    def tell(found: dict[bytes, list[int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64())], ["key", "n", "first"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[bytes, list[int]] = {}
+        for batch, x in _chunks(batches):
+            ids = batch.column("id").to_pylist()
+            which = x.long(min_chars)
+            which = which[seen.has(x.hash[which])] if least > 1 else which
+            # Two keys of one hash are two keys here, so a document's keys are told apart as text.
+            for doc, key in dict.fromkeys((int(x.doc[i]), x.key(i)) for i in which.tolist()):
+                n = found.setdefault(key, [0, LAST])
+                n[0], n[1] = n[0] + 1, min(n[1], ids[doc])
+            if len(found) > TOLD:
+                yield tell(found)
+                found.clear()
+        yield tell(found)
+
+    told = rows.select("id", "text").mapInArrow(run, "key binary, n long, first long")
+    return told.groupBy("key").agg(F.sum("n").alias("n"), F.min("first").alias("first")).where(F.col("n") >= least).select("key", "first")
+
+
+def _row_keys() -> list[Column]:
+    """Two hashes that tell rows apart by doc_id and text; rows equal in both have equal results."""
+    return [F.xxhash64(F.lit(i), "id", F.col("doc_id").isNull(), "text").alias(f"k{i}") for i in (1, 2)]
+
+
+def _places(rows: DataFrame, seen: bloom.Filter, often: DataFrame, least: int, min_chars: int) -> DataFrame:
+    """k1, k2, gone (array of line and first): the lines of each row whose key is among ``often``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, x in _chunks(batches):
+            which = x.long(min_chars)
+            which = which[seen.has(x.hash[which])] if least > 1 else which
+            doc = pa.array(x.doc[which])
+            keys = [batch.column(c).take(doc) for c in ("k1", "k2")]
+            yield pa.RecordBatch.from_arrays([*keys, pa.array(which - x.first[x.doc[which]]), pa.array([x.key(i) for i in which.tolist()], pa.binary())], ["k1", "k2", "line", "key"])
+
+    lines = rows.select(*_row_keys(), "text").mapInArrow(run, "k1 long, k2 long, line long, key binary")
+    return lines.join(often, "key").groupBy("k1", "k2").agg(F.collect_set(F.struct("line", "first")).alias("gone"))
+
+
+def _kept(x: Lines, doc: int, gone: dict[int, int], mine: int, mode: str) -> tuple[int, int, bytes]:
+    """(lines, lines dropped, what is kept) of a text; gone: line -> smallest doc_id with its key."""
+    a, b = int(x.first[doc]), int(x.first[doc + 1])
+    kept, taken = [], set()
+    for i in range(a, b):
+        if i - a in gone:
+            k = x.key(i)
+            if mode == "drop" or gone[i - a] != mine or k in taken:
+                continue
+            taken.add(k)
+        kept.append(x.data[x.starts[i] : x.ends[i]])
+    return b - a, b - a - len(kept), b"\n".join(kept)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: str = "drop", sent: int = SENT) -> DataFrame:
     """Each document with its repeated lines dropped; see the module's text.
 
     Returns doc_id, n_lines, n_dropped, kept_sha256, kept_text.
     """
-    return _rows(docs, min_docs, min_chars, mode, block_bytes, extra=[]).drop("was_null")
+    return _rows(tables.named(docs, "doc_id", "text"), min_docs, min_chars, mode, sent, extra=[]).drop("was_null")
 
 
-def _rows(docs: DataFrame, min_docs: int, min_chars: int, mode: str, block_bytes: int, extra: list[str]) -> DataFrame:
+def _rows(docs: DataFrame, min_docs: int, min_chars: int, mode: str, sent: int, extra: list[str]) -> DataFrame:
     if mode not in ("drop", "first"):
         raise ValueError(f"no such mode: {mode}")
-    least = max(1, min_docs)
-    n = rounds.count_blocks(docs, block_bytes)
-    blocks = rounds.in_blocks(docs, n, extra)
-    carried = docs.select(extra).schema if extra else StructType()
-    schema = StructType([*(StructField(k, t) for k, t in FIELDS), *carried.fields])
-    often = least if least <= 2 else 2  # a block's own repeats are suspects at once
-
-    def hashes(table: pa.Table, _: dict) -> rounds.Messages:
-        b = _Block(table, n, min_chars)
-        return [(k, 1, b.hashes[at].tobytes()) for k, at in rounds.split_sorted(b.buckets)]
-
-    def keys(table: pa.Table, got: dict) -> rounds.Messages:
-        b = _Block(table, n, min_chars)
-        return [(k, 2, _pack(ks, [b.count[x] for x in ks], [b.first[x] for x in ks])) for k, ks in b.suspects(got.get(1, {}), often)] + rounds.echo(got)
-
-    def result(table: pa.Table, got: dict) -> pa.Table:
-        b, got = _Block(table, n, min_chars), rounds.unecho(got)
-        drop: dict[bytes, int] = {}  # key -> the smallest doc_id that holds it
-        for bucket, ks in b.suspects(got.get(1, {}), often):
-            blob = got[2][bucket]
-            many = rounds.unbits(blob, len(ks))
-            firsts = np.frombuffer(blob, "<i8", len(ks), len(blob) - 8 * len(ks))
-            drop |= {k: f for k, m, f in zip(ks, many.tolist(), firsts.tolist(), strict=True) if m}
-        rows, taken = [], set()
-        for i, none, lines in zip(b.ids.tolist(), b.none.tolist(), b.lines, strict=True):
-            kept = []
-            for line in lines:
-                k = line.strip(STRIP).lower()
-                if k in drop:
-                    if mode == "drop" or drop[k] != i or k in taken:
-                        continue
-                    taken.add(k)
-                kept.append(line)
-            left = b"\n".join(kept)
-            rows.append((None if none else i, len(lines), len(lines) - len(kept), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "replace")))
-        cols = list(zip(*rows, strict=True)) if rows else [()] * 5
-        out = pa.table([*(pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)), table.column("was_null")], names=[k for k, _ in FIELDS])
-        for c in extra:
-            out = out.append_column(c, table.column(f"x_{c}"))
-        return out
-
-    got = rounds.answer(rounds.send(blocks, None, hashes), _suspects)
-    got = rounds.answer(rounds.send(blocks, got, keys), _decide(least))
-    return rounds.finish(blocks, got, result, schema)
-
-
-def rewritten(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: str = "drop", block_bytes: int = rounds.BLOCK_BYTES) -> DataFrame:
+    components.shared_folder(docs.sparkSession)
+    least, last = max(1, min_docs), LAST
+    schema = StructType([*(StructField(k, t) for k, t in FIELDS), *(docs.select(extra).schema.fields if extra else [])])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(last)).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("text").isNull().alias("was_null"), *extra)
+    seen = _suspects(rows, min_chars)
+    often = _often(rows, seen, least, min_chars).checkpoint()
+    size = often.agg(F.sum(F.octet_length("key").cast("long") + 8)).first()[0] or 0
+    known: dict[bytes, int] = {}
+    if size <= sent:
+        known = {bytes(r.key): r.first for r in often.collect()}
+        rows = rows.withColumn("gone", F.lit(None).cast("array<struct<line:long,first:long>>"))
+    else:
+        rows = rows.select("*", *_row_keys()).join(_places(rows, seen, often, least, min_chars), ["k1", "k2"], "left")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = np.unique(words.hashes_of(list(known)))
+        for batch, x in _chunks(batches):
+            hit = np.flatnonzero(np.isin(x.hash, hashes)) if len(hashes) else np.empty(0, np.int64)
+            places: list[dict[int, int]] = [{p["line"]: p["first"] for p in g or ()} for g in batch.column("gone").to_pylist()]
+            for i in hit.tolist():
+                k = x.key(i)
+                if k in known:
+                    places[x.doc[i]][i - int(x.first[x.doc[i]])] = known[k]
+            out = [_kept(x, d, gone, mine, mode) for d, (gone, mine) in enumerate(zip(places, batch.column("id").to_pylist(), strict=True))]
+            n, dropped, left = zip(*out, strict=True)
+            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(dropped, pa.int64()), pa.array([hashlib.sha256(t).hexdigest() for t in left]), pa.array([t.decode() for t in left], pa.string()), batch.column("was_null"), *(batch.column(c) for c in extra)]
+            yield pa.RecordBatch.from_arrays(cols, schema.names)
+
+    return rows.select("doc_id", "id", "text", "was_null", "gone", *extra).mapInArrow(run, schema)
+
+
+def rewritten(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, mode: str = "drop", sent: int = SENT) -> DataFrame:
     """The rows of ``docs`` with the lines kept as their text and its length as n_chars; other columns stay."""
-    kept = _rows(docs, min_docs, min_chars, mode, block_bytes, extra=[f for f in docs.columns if f not in ("doc_id", "text", "n_chars")])
-    text = F.when(F.col("was_null"), F.lit(None)).otherwise(F.col("kept_text"))
-    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    wanted = ["doc_id", "text", *(c for c in docs.columns if c == "n_chars")]
+    rows = tables.named(docs, *wanted)
+    kept = _rows(rows, min_docs, min_chars, mode, sent, extra=tables.others(rows))
+    text = F.when(~F.col("was_null"), F.col("kept_text"))
+    return kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(rows.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -67,6 +67,12 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return scrambled((total[ends] - total[starts]) * inverse[starts])
 
 
+def hashes_of(keys: list[bytes]) -> np.ndarray:
+    """hashes() of byte strings of their own."""
+    ends = np.cumsum([len(k) for k in keys], dtype=np.int64)
+    return hashes(np.frombuffer(b"".join(keys), np.uint8), np.append(0, ends[:-1])[: len(keys)], ends)
+
+
 def grams(x: np.ndarray, n: int) -> np.ndarray:
     """Hashes of n adjacent words; the last n - 1 places have none."""
     if len(x) < n:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pagemill.llm import components, fingerprints, line_dedup, simhash_dedup, suffix_dedup
+from pagemill.llm import bloom, components, fingerprints, line_dedup, simhash_dedup, suffix_dedup
 from tests.llm.common import corpus, documents
 
 LAST = 1 << 63
@@ -54,7 +54,7 @@ def test_substrings_refuse_short_lengths(spark):
 
 
 def brute_lines(rows, least):
-    key = lambda line: line.strip(line_dedup.STRIP).lower()
+    key = lambda line: line.strip(b" \t\n\x0b\x0c\r").lower()
     n = Counter()
     texts = [(i, (t or "").encode()) for i, t in rows]
     for _, b in texts:
@@ -67,16 +67,17 @@ def brute_lines(rows, least):
     return Counter(out)
 
 
-@pytest.mark.parametrize("least", [2, 10])
-def test_lines(spark, least):
+@pytest.mark.parametrize(("least", "sent"), [(2, 1 << 20), (10, 1 << 20), (2, 0), (1, 0)])
+def test_lines(spark, least, sent):
     rows = corpus()
-    got = line_dedup.dedup_lines(documents(spark, rows), min_docs=least, block_bytes=1500).collect()
+    got = line_dedup.dedup_lines(documents(spark, rows), min_docs=least, sent=sent).collect()
     assert Counter(tuple(r)[:4] for r in got) == brute_lines(rows, least)
 
 
-def test_first_lines_stay(spark):
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_first_lines_stay(spark, sent):
     rows = [(3, "a\nB\na"), (1, "b\nc"), (2, "c \nd"), (None, "D\n\n")]
-    got = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(documents(spark, rows), min_docs=2, mode="first").collect()}
+    got = {r.doc_id: r.kept_text for r in line_dedup.dedup_lines(documents(spark, rows), min_docs=2, mode="first", sent=sent).collect()}
     assert got == {3: "a\na", 1: "b\nc", 2: "d", None: "\n"}
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(documents(spark, rows), mode="other")
@@ -90,11 +91,30 @@ def test_rewritten_keeps_other_columns(spark):
 
 
 def test_bloom_has_no_false_negatives():
-    x = np.random.RandomState(1).randint(0, 1 << 63, 5000, dtype=np.uint64)
-    b = line_dedup.Bloom(len(x))
-    b.add(x)
-    assert b.has(x).all()
-    assert b.has(x + np.uint64(1)).mean() < 0.02
+    x = np.random.RandomState(1).randint(0, 1 << 63, 9000, dtype=np.uint64)
+    one, other = bloom.Seen(17), bloom.Seen(17)
+    one.add(x[:5000])
+    other.add(x[4000:])
+    one.add(x[:100])
+    f = bloom.Filter(17, one.once | other.once)
+    assert f.has(x).all()
+    assert f.has(x + np.uint64(1)).mean() < 0.1
+    twice = bloom.Filter(17, one.twice | other.twice | (one.once & other.once))
+    assert twice.has(np.concatenate([x[:100], x[4000:5000]])).all()
+    assert twice.has(x[5000:]).mean() < 0.1
+
+
+def test_blooms_of_many_tasks(spark):
+    x = np.random.RandomState(2).randint(0, 1 << 62, 3000).tolist()
+    df = spark.createDataFrame([(v,) for v in x + x[:500]], "h long").repartition(7)
+    hashes = lambda b: iter([np.asarray(b.column("h")).view(np.uint64)])
+    every = np.array(x, np.uint64)
+    assert bloom.built(df, hashes, 16).has(every).all()
+    twice = bloom.built(df, hashes, 16, again=True)
+    assert twice.has(every[:500]).all()
+    assert twice.has(every[500:]).mean() < 0.1
+    assert not bloom.built(df.limit(0), hashes, 16).has(every).any()
+    assert bloom.bits_for(1 << 50) == bloom.MOST
 
 
 def brute_fp(text):
