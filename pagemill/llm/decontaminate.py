@@ -1,43 +1,49 @@
 """Operator 3: benchmark passages in documents, by a prefix-filtered set join.
 
 An item's windows are its runs of ``window`` words (an item with fewer is one
-window).  A document that holds a window holds all its shingles of up to five
-words, so one of them, the rarest in the corpus, is prefix enough: candidates are
-the document's places of that shingle.  The shingle's place in the window fixes
-where the window would start (positional bound) and it must fit into the document
-(length bound); then all words are compared.  Rarity is counted over all
-documents.
-
-The benchmark is a stated query set: it is held in blocks of at most
-``BLOCK_BYTES`` of text, whose table goes to every task, and documents pass all
-blocks in one scan without a shuffle, whatever the number of blocks.
+window).  A document that holds a window holds all its shingles of up to five words,
+so one of them, the rarest in the corpus, is prefix enough.
+
+1. The windows become a table of their distinct texts, and another of their items.
+2. A first scan of the documents counts the shingles that windows have (a Bloom
+   filter of them, of bounded size, turns the others away), added up per task first.
+   Each window's prefix is its rarest shingle.
+3. A second scan finds the places of prefix shingles (with a filter of these) and
+   sends each with the words around it that a window may cover.
+4. Places and prefixes are joined on the shingle.  The prefix's place in the window
+   fixes where the window would start (positional bound), the document must reach as
+   far on either side (length bound), and then the words themselves are compared.
+5. Windows found become spans and items of their document, and these are joined with
+   the documents' word counts.
+
+The table of prefixes is sent to all tasks while it has at most ``SENT`` rows; a
+larger benchmark is joined by sort and merge, where skewed shingles can be split.
+Nothing of it is held by the driver but its filters.
 
 Ties and edges: a null or wordless text has no words and is clean; wordless items
 match nothing; a null item_id is written as an empty string; several rows of one
-item_id count once; results are per row of documents.
+item_id count once; results are per row of documents, and rows equal in doc_id and
+text have equal results.  An empty table of documents gives no rows, an empty
+benchmark leaves all clean.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm import words
+from pagemill.llm import bloom, components, tables, words
 
-BLOCK_BYTES = 16 << 20
 SHINGLE = 5
-SIEVE = 1 << 22  # slots of the table that turns most shingles away
-Step = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+SENT = 20_000  # rows of a table that is sent to all tasks, at most; about 200 bytes each
+TOLD = 500_000  # shingles that a task counts before it tells
 _WORD = np.zeros(256, bool)
 _WORD[np.r_[0x30:0x3A, 0x61:0x7B, 0x80:0x100]] = True
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, item_ids array<string>, hit_spans array<long>"
-_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("item_ids", pa.list_(pa.string())), ("hit_spans", pa.list_(pa.int64()))])
 
 
 class Words(NamedTuple):
@@ -61,183 +67,181 @@ def tokenised(texts: list[bytes]) -> Words:
     return Words(data, starts, ends, words.hashes(array, starts, ends), doc, first)
 
 
-class Windows(NamedTuple):
-    """A block of the benchmark, as its distinct windows."""
-
-    text: list[bytes]  # words of the window, joined by spaces
-    size: list[int]
-    items: list[list[str]]
-    shingles: list[np.ndarray]  # hashes of its shingles, in order
-    length: np.ndarray  # of its shingles, in words
-
-
-def windows_of(rows: list[tuple[str | None, str | None]], window: int) -> Windows:
-    found: dict[bytes, tuple[int, set[str], np.ndarray, int]] = {}
-    for item, text in rows:
-        w = tokenised([(text or "").encode()])
-        n = len(w.starts)
-        size = min(n, window)
-        k = min(size, SHINGLE)
-        if not n:
-            continue
-        parts = [w.data[a:b] for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
-        g = words.grams(w.hashes, k)
-        for i in range(n - size + 1):
-            key = b" ".join(parts[i : i + size])
-            found.setdefault(key, (size, set(), g[i : i + size - k + 1], k))[1].add("" if item is None else str(item))
-    keys = list(found)
-    return Windows(keys, [found[x][0] for x in keys], [sorted(found[x][1]) for x in keys], [found[x][2] for x in keys], np.array([found[x][3] for x in keys], np.int64))
-
-
-class Index:
-    """Prefix shingle -> the windows it stands for and its place in them, by shingle length."""
-
-    def __init__(self, block: Windows, rarity: dict[int, int]):
-        self.block = block
-        self.by: dict[int, tuple[np.ndarray, ...]] = {}
-        self.lengths = sorted(set(block.length.tolist()))
-        place = [min(range(len(g)), key=lambda i: (rarity.get(int(g[i]), 0), i)) for g in block.shingles]
-        for k in self.lengths:
-            mine = np.flatnonzero(block.length == k)
-            hashes = np.array([block.shingles[i][place[i]] for i in mine], np.uint64)
-            order = np.argsort(hashes, kind="stable")
-            at = np.array([place[i] for i in mine], np.int64)[order]
-            keys, first = np.unique(hashes[order], return_index=True)
-            sieve = np.zeros(SIEVE, bool)
-            sieve[(keys & np.uint64(SIEVE - 1)).astype(np.int64)] = True
-            self.by[k] = (keys, np.append(first, len(order)), mine[order], at, sieve)
-
-    def found(self, w: Words) -> Iterator[tuple[int, int, int]]:
-        """(first word, number of words, window) of each occurrence."""
-        block, n = self.block, len(w.starts)
-        for k, (keys, first, which, at, sieve) in self.by.items():
-            g = words.grams(w.hashes, k)
-            maybe = np.flatnonzero(sieve[(g & np.uint64(SIEVE - 1)).astype(np.int64)])
-            slot = np.minimum(np.searchsorted(keys, g[maybe]), len(keys) - 1)
-            sure = keys[slot] == g[maybe]
-            for j, s in zip(maybe[sure].tolist(), slot[sure].tolist(), strict=True):
-                for i in range(first[s], first[s + 1]):
-                    x = int(which[i])
-                    start, size = j - int(at[i]), block.size[x]
-                    if start < 0 or start + size > n or w.doc[start] != w.doc[start + size - 1]:
-                        continue
-                    got = b" ".join([w.data[a:b] for a, b in zip(w.starts[start : start + size].tolist(), w.ends[start : start + size].tolist(), strict=True)])
-                    if got == block.text[x]:
-                        yield start, size, x
-
-
-def _counted(docs: DataFrame, block: Windows) -> dict[int, int]:
-    """How often each shingle of the block's windows is in the corpus."""
-    by = {k: np.unique(np.concatenate([g for g, n in zip(block.shingles, block.length, strict=True) if n == k])) for k in set(block.length.tolist())}
-    sieves = {}
-    for k, keys in by.items():
-        sieves[k] = np.zeros(SIEVE, bool)
-        sieves[k][(keys & np.uint64(SIEVE - 1)).astype(np.int64)] = True
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {k: np.zeros(len(keys), np.int64) for k, keys in by.items()}
-        for batch in words.small(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for a, b in words.chunks(texts):
-                w = tokenised(texts[a:b])
-                for k, keys in by.items():
-                    g = words.grams(w.hashes, k)
-                    g = g[sieves[k][(g & np.uint64(SIEVE - 1)).astype(np.int64)]]
-                    slot = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
-                    total[k] += np.bincount(slot[keys[slot] == g], minlength=len(keys))
-        for k, n in total.items():
-            some = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(by[k][some].view(np.int64)), pa.array(n[some])], ["shingle", "n"])
-
-    rows = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).collect()  # a row per shingle of the block at most
-    return {r.shingle & 0xFFFFFFFFFFFFFFFF: r.n for r in rows}
-
-
-def _search(index: Index):
+def _windows(benchmark: DataFrame, window: int) -> DataFrame:
+    """item, size, k, words, shingles: each window of each item; shingles are hashes of k words, in order."""
+    names = ["item", "size", "k", "words", "shingles"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in words.small(batches):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            n_words, hits, items = [], batch.column("hits").to_pylist(), batch.column("items").to_pylist()
-            for a, b in words.chunks(texts):
-                w = tokenised(texts[a:b])
-                n_words += np.diff(w.first).tolist()
-                for start, size, x in index.found(w):
-                    doc = int(w.doc[start])
-                    at = start - int(w.first[doc])
-                    hits[a + doc] += [at, at + size]
-                    items[a + doc] += index.block.items[x]
-            hits, items = [_merged(h) for h in hits], [sorted(set(x)) for x in items]
-            found = [pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("text"), *found], ["row", "text", "n_words", "hits", "items"])
-
-    return run
-
-
-def _merged(flat: list[int]) -> list[int]:
-    out: list[int] = []
-    for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
-        if out and a <= out[-1]:
-            out[-1] = max(out[-1], b)
-        else:
-            out += [a, b]
-    return out
-
-
-def _searched(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, last: Step, schema: str | None = None) -> DataFrame:
-    """Search the blocks one after the other, and end with ``last`` in the same Python worker as the last of them.
-
-    ``last`` receives row (all columns but text, and whether text was null), text,
-    n_words, hits and items; without a schema it gives the same.
-    """
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
-    size = bench.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    n_blocks = max(1, -(-size // block_bytes))
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks))
-    row = F.struct(F.col("text").isNull().alias("text was null"), *(c for c in docs.columns if c != "text"))
-    state = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text"), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<bigint>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
-    for i in range(n_blocks):
-        block = windows_of([tuple(r) for r in bench.where(part == i).collect()], window)  # of block_bytes
-        index = Index(block, _counted(docs, block) if block.text else {})
-        search = _search(index)
-        if i < n_blocks - 1:
-            state = state.mapInArrow(search, state.schema)
-    return state.mapInArrow(lambda batches: last(search(batches)), schema or state.schema)
-
-
-def _contaminated(batch: pa.RecordBatch, share: int) -> tuple[list[int], list[bool]]:
-    hits, n = batch.column("hits").to_pylist(), batch.column("n_words").to_pylist()
-    n_hit = [sum(h[1::2]) - sum(h[::2]) for h in hits]
-    return n_hit, [h > 0 and share * h >= k for h, k in zip(n_hit, n, strict=True)]
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+        rows: list[tuple] = []
+        tell = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64())), strict=True)], names)
+        for batch in batches:
+            for item, text in zip(*(batch.column(c).to_pylist() for c in ("item", "text")), strict=True):
+                w = tokenised([text.encode()])
+                n = len(w.starts)
+                size = min(n, window)
+                k = min(size, SHINGLE)
+                g = words.grams(w.hashes, k).view(np.int64) if n else None
+                parts = [w.data[a:b].decode() for a, b in zip(w.starts.tolist(), w.ends.tolist(), strict=True)]
+                for i in range(n - size + 1 if n else 0):
+                    rows.append((item, size, k, " ".join(parts[i : i + size]), g[i : i + size - k + 1].tolist()))
+                    if len(rows) >= 4096:
+                        yield tell()
+                        rows.clear()
+        if rows:
+            yield tell()
+
+    rows = tables.named(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return rows.mapInArrow(run, "item string, size int, k int, words string, shingles array<long>")
+
+
+def _shingles(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of each shingle of k words inside a text."""
+    g = words.grams(w.hashes, k)
+    at = np.flatnonzero(w.doc[: len(g)] == w.doc[k - 1 :])
+    return at, g[at]
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Words]]:
+    for batch in words.small(batches):
+        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+        for a, b in words.chunks(texts):
+            yield batch.slice(a, b - a), tokenised(texts[a:b])
+
+
+def _filter(rows: DataFrame, column: str) -> bloom.Filter:
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.unique(np.asarray(batch.column(column)).view(np.uint64))
+
+    return bloom.built(rows.select(column), hashes, bloom.bits_for(rows.count()))
+
+
+def _counts(docs: DataFrame, wanted: bloom.Filter, lengths: list[int]) -> DataFrame:
+    """shingle, n: how often shingles that pass the filter are in the documents."""
+
+    def tell(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        every, place = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        n = np.bincount(place, np.concatenate([n for _, n in parts]), len(every)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(every.view(np.int64)), pa.array(n)], ["shingle", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for _, w in _texts(batches):
+            for k in lengths:
+                g = _shingles(w, k)[1]
+                parts.append(np.unique(g[wanted.has(g)], return_counts=True))
+                size += len(parts[-1][0])
+            if size > TOLD:
+                yield tell(parts)
+                parts, size = [], 0
+        if size:
+            yield tell(parts)
+
+    return docs.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+
+
+PLACE = "array<struct<shingle:long,pos:int,before:int,n:int,around:string>>"
+_PLACE = pa.list_(pa.struct([("shingle", pa.int64()), ("pos", pa.int32()), ("before", pa.int32()), ("n", pa.int32()), ("around", pa.string())]))
+
+
+def _places(docs: DataFrame, prefixes: bloom.Filter, lengths: list[int], window: int) -> DataFrame:
+    """The columns of docs but text, n_words, and the places of prefix shingles with the words around them."""
+    kept = [c for c in docs.columns if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, w in _texts(batches):
+            places: list[list[dict]] = [[] for _ in range(batch.num_rows)]
+            for k in lengths:
+                at, g = _shingles(w, k)
+                some = np.flatnonzero(prefixes.has(g))
+                # A window of under SHINGLE words is its own shingle.
+                reach = window if k == SHINGLE else k
+                for j, h in zip(at[some].tolist(), g[some].view(np.int64).tolist(), strict=True):
+                    doc = int(w.doc[j])
+                    a, b = max(int(w.first[doc]), j - (reach - k)), min(int(w.first[doc + 1]), j + reach)
+                    around = b" ".join([w.data[x:y] for x, y in zip(w.starts[a:b].tolist(), w.ends[a:b].tolist(), strict=True)])
+                    places[doc].append({"shingle": h, "pos": j - int(w.first[doc]), "before": j - a, "n": b - a, "around": around.decode()})
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(w.first)), pa.array(places, _PLACE)], [*kept, "n_words", "places"])
+
+    schema = ", ".join(f"{c} long" for c in kept)
+    return docs.mapInArrow(run, f"{schema}, n_words long, places {PLACE}")
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each row, as the starts and ends of their union, and how many words that has."""
+    for batch in batches:
+        hits = []
+        for spans in batch.column("spans").to_pylist():
+            out: list[int] = []
+            for s in sorted(spans, key=lambda s: (s["start"], s["end"])):
+                if out and s["start"] <= out[-1]:
+                    out[-1] = max(out[-1], s["end"])
+                else:
+                    out += [s["start"], s["end"]]
+            hits.append(out)
+        yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array([sum(h[1::2]) - sum(h[::2]) for h in hits], pa.int64()), pa.array(hits, pa.list_(pa.int64()))], ["k1", "k2", "n_hit", "hit_spans"])
+
+
+def _sized(df: DataFrame, n: int, sent: int) -> DataFrame:
+    """A side of a join, by its measured number of rows."""
+    return F.broadcast(df) if n <= sent else df.hint("merge")
+
+
+def _row_keys() -> list[Column]:
+    """Two hashes that tell rows apart by doc_id and text."""
+    return [F.xxhash64(F.lit(i), "doc_id", F.col("doc_id").isNull(), "text").alias(f"k{i}") for i in (1, 2)]
+
+
+def _searched(docs: DataFrame, benchmark: DataFrame, window: int, share: int, sent: int) -> DataFrame:
+    """doc_id, k1, k2, n_words, n_hit, hit_spans, item_ids and contaminated of each row; docs has doc_id and text."""
+    components.shared_folder(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.select("doc_id", "text", *_row_keys())
+    every = _windows(benchmark, window).checkpoint()
+    distinct = every.select("words", "size", "k", "shingles").dropDuplicates(["words"]).checkpoint()
+    lengths = sorted(r.k for r in distinct.select("k").distinct().collect())  # SHINGLE of them at most
+    each = distinct.select("words", "size", F.posexplode("shingles").alias("at", "shingle"))
+    counts = _counts(rows, _filter(each.select("shingle").distinct(), "shingle"), lengths)
+    rarest = each.join(counts, "shingle", "left").groupBy("words", "size").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "at", "shingle")).alias("p"))
+    prefix = rarest.select(F.col("p.shingle").alias("prefix"), F.col("p.at").alias("at"), "size", "words").checkpoint()
+    found = _places(rows, _filter(prefix.select("prefix").distinct(), "prefix"), lengths, window).checkpoint()
+    places = found.where(F.size("places") > 0).select("k1", "k2", F.explode("places").alias("p")).select("k1", "k2", "p.*")
+    bounds = (F.col("shingle") == F.col("prefix")) & (F.col("at") <= F.col("before")) & (F.col("size") - F.col("at") <= F.col("n") - F.col("before"))
+    start = F.col("before") - F.col("at")
+    exact = F.array_join(F.slice(F.split("around", " "), start + 1, F.col("size")), " ") == F.col("words")
+    hits = places.join(_sized(prefix, prefix.count(), sent), bounds).where(exact).select("k1", "k2", "words", (F.col("pos") - F.col("at")).cast("long").alias("start"), (F.col("pos") - F.col("at") + F.col("size")).cast("long").alias("end")).distinct().checkpoint()
+    spans = hits.groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "end")).alias("spans")).mapInArrow(_merged, "k1 long, k2 long, n_hit long, hit_spans array<long>")
+    members = every.select("words", "item").distinct()
+    items = hits.select("k1", "k2", "words").distinct().join(_sized(members, members.count(), sent), "words").groupBy("k1", "k2").agg(F.array_sort(F.collect_set("item")).alias("item_ids"))
+    whole = found.drop("places").join(spans, ["k1", "k2"], "left").join(items, ["k1", "k2"], "left")
+    n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    none = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<string>)")
+    return whole.select("doc_id", "k1", "k2", "n_words", n_hit.alias("n_hit"), F.coalesce("hit_spans", none[0]).alias("hit_spans"), F.coalesce("item_ids", none[1]).alias("item_ids"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, sent: int = SENT) -> DataFrame:
     """Per document: its words, those inside occurrences of item windows, and the items found.
 
     ``contaminated``: at least one word is hit and ``share`` times the hit words
     are at least all words.  ``hit_spans`` holds starts and ends in words.
     """
-
-    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n_hit, bad = _contaminated(batch, share)
-            items = batch.column("items").to_pylist()
-            digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
-            cols = [batch.column("row").field("doc_id"), batch.column("n_words"), n_hit, [len(x) for x in items], digest, bad, batch.column("items"), batch.column("hits")]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
-
-    return _searched(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, window, block_bytes, last, SCHEMA)
+    got = _searched(tables.named(docs, "doc_id", "text"), benchmark, window, share, sent)
+    digest = F.sha2(F.array_join("item_ids", ",").cast("binary"), 256)
+    return got.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), digest.alias("items_sha256"), "contaminated", "item_ids", "hit_spans")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with all their columns."""
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, sent: int = SENT) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with all their columns.
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array([not b for b in _contaminated(batch, share)[1]], pa.bool_()))
-
-    kept = _searched(docs, benchmark, window, block_bytes, keep)
-    text = F.when(~F.col("row.`text was null`"), F.col("text"))
-    return kept.select(*(text.alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
+    The keys of the others are sent to all tasks while there are at most ten times
+    ``sent`` of them (16 bytes each), so that texts are not shuffled.
+    """
+    rows = tables.named(docs, "doc_id", "text")
+    bad = _searched(rows, benchmark, window, share, sent).where("contaminated").select("k1", "k2").distinct().checkpoint()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    mine = [F.xxhash64(F.lit(i), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text).alias(f"k{i}") for i in (1, 2)]
+    kept = rows.select("*", *mine).join(_sized(bad, bad.count(), 10 * sent), ["k1", "k2"], "left_anti")
+    return kept.select(rows.columns).toDF(*docs.columns)
 
 
 ORACLE_SQL = r"""

@@ -89,16 +89,16 @@ def brute_contamination(rows, items, window=13):
     return Counter(out)
 
 
-@pytest.mark.parametrize("block_bytes", [100, 1 << 20])
-def test_decontamination(spark, block_bytes):
+@pytest.mark.parametrize("sent", [0, 1 << 20])
+def test_decontamination(spark, sent):
     passage = " ".join(words(1, 40))
     items = [(10, passage), (9, passage.upper()), (11, "Short Item"), (12, "é"), (13, ""), (None, None), (14, " ".join(words(300, 20))), (11, "short item")]
     rows = corpus() + [(80, "a SHORT, item here"), (81, "short"), (82, "item short"), (83, f"x é y {passage[:60]}"), (84, " ".join(words(1, 12)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
     docs = documents(spark, rows)
     want = brute_contamination(rows, items)
-    assert Counter(tuple(r)[:6] for r in decontaminate.decontaminate(docs, bench, block_bytes=block_bytes).collect()) == want
-    kept = decontaminate.clean(docs, bench, block_bytes=block_bytes)
+    assert Counter(tuple(r)[:6] for r in decontaminate.decontaminate(docs, bench, sent=sent).collect()) == want
+    kept = decontaminate.clean(docs, bench, sent=sent)
     assert kept.columns == docs.columns
     bad = {r[0] for r in want if r[5]}
     assert Counter((r.doc_id, r.text, r.hits) for r in kept.collect()) == Counter((i, t, "h") for i, t in rows if i not in bad or (i is None and t is None))
