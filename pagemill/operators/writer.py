@@ -1,583 +1,15 @@
-"""From tree events to Markdown.
-
-``Page`` collects output: it knows what is pending (a break of one or two lines, a
-space) and lays it down before the next piece of output.  ``Writer`` turns events
-into calls of it; each element has a rule for its start and its end, found by tag.
-"""
+"""Conversion of one HTML text to Markdown: composed, laid out, wrapped."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
-from dataclasses import dataclass, field
 
 from pagemill.functions import text as X
-from pagemill.functions.tables import ABSOLUTE_URL
-from pagemill.operators import html_tree
+from pagemill.operators.compose import compose
+from pagemill.operators.layout import Layout, Piece
 from pagemill.options import DEFAULTS, Options
 
-_ABSOLUTE = re.compile(ABSOLUTE_URL)
-_SPACES = re.compile(r"[ \t\n\r\f\v]+")
-_FIRST = re.compile(r"[^\[\](){}\s.!?]")
-_PUNCTUATION = frozenset("!\"#%&'()*,-./:;?@[\\]_{}")
-Attributes = dict[str, str]
-
-
-@dataclass
-class Link:
-    """A reference that is written as a footnote."""
-
-    attrs: Attributes
-    number: int
-    after: int  # pieces of output before it
-
-
-@dataclass
-class Page:
-    """The output of one document and what is pending in it."""
-
-    o: Options
-    out: list[str] = field(default_factory=list)
-    count: int = 0
-    breaks: int = 0
-    soft: str = ""
-    space: bool = False
-    at_line_start: bool = False
-    fresh: bool = True  # nothing pending counts: at the start, in a new item or quote
-    quiet: int = 0
-    quotes: int = 0
-    pre: bool = False
-    pre_opens: bool = False
-    pre_indent: str = ""
-    item_indent: str = ""
-    code: bool = False
-    links: list[Link] = field(default_factory=list)
-    abbreviations: dict[str, str] = field(default_factory=dict)
-    abbreviating: str | None = None
-    swallow_space: int = 0  # just after styled emphasis has opened
-
-    def block(self) -> None:
-        self.breaks = 1 if self.o.single_line_break else 2
-
-    def line(self) -> None:
-        self.breaks = self.breaks or 1
-
-    def soft_line(self) -> None:
-        self.line()
-        self.soft = "  "
-
-    def lay(self, s: str) -> None:
-        self.out.append(s)
-        if s:
-            self.at_line_start = s.endswith("\n")
-
-    def _quote(self, data: str, forced: bool) -> str:
-        if not self.quotes:
-            return ""
-        return ">" * self.quotes + ("" if forced and data.startswith(">") else " ")
-
-    def put(self, data: str, text: bool = False, forced: bool = False, last: bool = False) -> None:
-        """Write ``data`` after what is pending. ``text``: its white space is collapsed."""
-        if self.abbreviating is not None:
-            self.abbreviating += data
-        if self.quiet:
-            return
-        if self.o.google_doc:
-            bare = data.lstrip(" \t\n\r\0\v")
-            if self.swallow_space and not (self.pre or self.code):
-                data = bare
-            if bare:
-                self.swallow_space = 0
-        if text and not self.pre:
-            data = _SPACES.sub(" ", data)
-            if data.startswith(" "):
-                self.space = True
-                data = data[1:]
-        if not data and not forced and not last:
-            return
-        if self.pre_opens:
-            if not data.startswith(("\n", "\r\n")):
-                data = "\n" + data
-            if self.o.mark_code:
-                self.lay("\n[code]")
-                self.breaks = 0
-        margin = self._quote(data, forced or last)
-        if self.pre:
-            margin += self.item_indent
-            if not self.o.backquote_code_style:
-                margin += "    "
-            data = data.replace("\n", "\n" + margin)
-            self.pre_indent = margin
-        if self.pre_opens:
-            self.pre_opens = False
-            if self.o.backquote_code_style:
-                self.lay(f"\n{self.pre_indent}```")
-                self.breaks = 0
-            elif self.item_indent:
-                data = data.removeprefix("\n" + self.pre_indent)
-        if self.fresh:
-            self.fresh, self.space, self.breaks = False, False, 0
-        if last:
-            self.breaks, self.space = 0, False
-            self.lay("\n")
-        paragraph = self.breaks == 2
-        if self.breaks:
-            self.lay((self.soft + "\n" + margin) * self.breaks)
-            self.space, self.soft = False, ""
-        if self.space:
-            if not self.at_line_start:
-                self.lay(" ")
-            self.space = False
-        if self.links and (last or paragraph and self.o.links_each_paragraph):
-            self._footnotes(last)
-        if last:
-            for short, long in self.abbreviations.items():
-                self.lay(f"  *[{short}]: {long}\n")
-        self.breaks = 0
-        self.lay(data)
-        self.count += 1
-
-    def _footnotes(self, last: bool) -> None:
-        if last:
-            self.lay("\n")
-        due = [x for x in self.links if self.count > x.after]
-        for x in due:
-            title = x.attrs.get("title", "")
-            shown = f" ({title})" if title.strip() else ""
-            self.lay(f"   [{x.number}]: {X.join_url(self.o.base_url, x.attrs.get('href', ''))}{shown}\n")
-        if due:
-            self.lay("\n")
-        self.links = [x for x in self.links if self.count <= x.after]
-
-
-@dataclass
-class List:
-    kind: str
-    number: int
-
-
-class Writer:
-    """Writes one document."""
-
-    def __init__(self, options: Options = DEFAULTS):
-        self.o, self.page = options, Page(options)
-        self.tag = ""
-        self.before = ""  # the text written last
-        self.opened_mark = self.closed_mark = False  # an emphasis mark came just before
-        self.anchors: list[Attributes | None] = []
-        self.waiting: str | None = None  # the address of a link whose bracket is not written yet
-        self.empty = False  # a link without output so far
-        self.n_links = 0
-        self.heading = self.quoting = self.after_list = False
-        self.lists: list[List] = []
-        self.abbreviation: str | None = None
-        self.styles: list[tuple[Attributes, X.Style]] = []
-        self.sheet: dict[str, X.Style] = {}
-        self.in_style = 0
-        self.next_cell = self.first_row = False
-        self.cells = 0
-        self.emphasised = 0
-        self.explicit = True  # the end at hand has an end tag
-
-    # -- events
-
-    def start(self, tag: str, attrs: Attributes) -> None:
-        self._element(tag, attrs, True)
-
-    def end(self, tag: str, explicit: bool = True) -> None:
-        self.explicit = explicit
-        self._element(tag, {}, False)
-
-    def _element(self, tag: str, attrs: Attributes, opens: bool) -> None:
-        self.tag = tag
-        if self.o.tag_callback is not None and self.o.tag_callback(self, tag, attrs, opens) is True:
-            return
-        if opens and self.waiting is not None and tag not in ("p", "div", "style", "dl", "dt") and (tag != "img" or self.o.ignore_images):
-            self._bracket()
-        style = parent = {}
-        if self.o.google_doc:
-            attrs, style, parent = self._styled(attrs, opens)
-        if X.heading_level(tag):
-            self._header(X.heading_level(tag), opens)
-            if not opens:
-                return
-        rule = RULES.get(tag)
-        early = tag in _EARLY
-        if rule and early:
-            rule(self, tag, attrs, opens, style)
-        if self.o.google_doc and not self.heading:
-            self._style_marks(opens, style, parent)
-        if rule and not early:
-            rule(self, tag, attrs, opens, style)
-        self.after_list = tag in ("ol", "ul")
-
-    def text(self, pieces: list[html_tree.Piece]) -> None:
-        for s, is_entity in pieces:
-            if is_entity:
-                self.push(X.entity(s, self.o.unicode_snob), entity=True)
-            else:
-                self.push(X.plain(s))
-
-    def push(self, s: str, entity: bool = False) -> None:
-        if not s:
-            return
-        if self.opened_mark:
-            s = s.strip(" \t\n\r\0\v")
-            self.opened_mark, self.closed_mark = False, True
-        elif self.closed_mark:
-            if _FIRST.match(s) and not X.heading_level(self.tag) and self.tag not in ("a", "code", "pre"):
-                s = " " + s
-            self.closed_mark = False
-        if self.in_style:
-            self.sheet |= X.rules(s)
-        if self.waiting is not None:
-            if self.waiting == s and _ABSOLUTE.match(s) and self.o.use_automatic_links:
-                self.page.put(f"<{s}>")
-                self.empty = False
-                return
-            self._bracket()
-        if not (self.page.code or self.page.pre or entity):
-            s = X.escape(s, self.o.escape_snob)
-        self.before, self.empty = s, False
-        self.page.put(s, text=True)
-
-    def finish(self) -> str:
-        self.page.line()
-        self.page.put("", last=True)
-        return "".join(self.page.out).replace(X.NBSP, " " if self.o.unicode_snob else " ")
-
-    # -- links
-
-    def _bracket(self) -> None:
-        self.page.put("[")
-        self.waiting, self.empty = None, False
-
-    def _anchor(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if self.o.ignore_anchors:
-            return
-        if opens:
-            href = attrs.get("href")
-            internal = href is not None and self.o.skip_internal_links and href.startswith("#")
-            mail = href is not None and self.o.ignore_mailto_links and href.startswith("mailto:")
-            if href is None or internal or mail:
-                self.anchors.append(None)
-                return
-            if self.o.protect_links:
-                attrs = attrs | {"href": f"<{href}>"}
-            self.anchors.append(attrs)
-            self.waiting, self.empty = attrs["href"], True
-            return
-        if not self.anchors:
-            return
-        link = self.anchors.pop()
-        if self.waiting is not None and not self.empty:  # written as an automatic link
-            self.waiting = None
-            return
-        if link is None:
-            return
-        if self.empty:
-            self._bracket()
-        if self.o.inline_links:
-            self.page.breaks = 0
-            title = X.escape_link(link.get("title", ""))
-            shown = f' "{title}"' if title.strip() else ""
-            self.page.put(f"]({X.escape_link(X.join_url(self.o.base_url, link['href']))}{shown})")
-        else:
-            self.page.put(f"][{self._number(link)}]")
-
-    def _number(self, attrs: Attributes) -> int:
-        """Of a reference: that of an equal link still to be written, or the next."""
-        for x in self.page.links:
-            if x.attrs.get("href") == attrs.get("href") and x.attrs.get("title") == attrs.get("title"):
-                return x.number
-        self.n_links += 1
-        self.page.links.append(Link(attrs, self.n_links, self.page.count))
-        return self.n_links
-
-    def _image(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        source = attrs.get("src", "")
-        if not opens or self.o.ignore_images or not source:
-            return
-        put, alt = self.page.put, attrs.get("alt", self.o.default_image_alt)
-        if self.o.images_as_html or self.o.images_with_size and ("width" in attrs or "height" in attrs):
-            put(f"<img src='{source}' ")
-            for name, value in (("width", attrs.get("width")), ("height", attrs.get("height")), ("alt", alt)):
-                if value:
-                    put(f"{name}='{value}' ")
-            put("/>")
-            return
-        alt = X.escape_link(alt)
-        if self.waiting is not None:
-            if self.o.images_to_alt and alt == self.waiting and _ABSOLUTE.match(alt):
-                put(f"<{alt}>")
-                self.empty = False
-                return
-            self._bracket()
-        if self.o.images_to_alt:
-            put(alt)
-            return
-        put(f"![{alt}]")
-        if self.o.inline_links:
-            put(f"({X.escape_link(X.join_url(self.o.base_url, source))})")
-        else:
-            put(f"[{self._number(attrs | {'href': source})}]")
-
-    # -- blocks
-
-    def _header(self, level: int, opens: bool) -> None:
-        self.heading, page = opens, self.page
-        marks = "#" * level + " "
-        if not self.anchors:
-            page.block()
-            if opens:
-                page.put(marks)
-            return
-        if not opens:
-            page.breaks = 0
-        elif page.out and page.out[-1] == "[":  # the marks go before the link
-            page.out.pop()
-            page.space = False
-            page.put(marks)
-            page.put("[")
-
-    def _paragraph(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if self.o.google_doc:
-            if opens and "height" in style:
-                self.page.block()
-            else:
-                self.page.soft_line()
-        elif not (self.anchors or self.next_cell):
-            self.page.block()
-
-    def _line_break(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if opens:
-            self.page.space = False
-            self.page.put("  \n> " if self.page.quotes > 0 else "  \n")
-
-    def _rule(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if opens:
-            self.page.block()
-            self.page.put("* * *")
-            self.page.block()
-
-    def _hidden(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        step = 1 if opens else -1
-        self.page.quiet += step
-        if tag == "style":
-            self.in_style += step
-
-    def _body(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        self.page.quiet = 0
-
-    def _quotation(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        page = self.page
-        if opens:
-            page.block()
-            page.put("> ", forced=True)
-            page.fresh = True
-            page.quotes += 1
-        else:
-            page.quotes -= 1
-            page.block()
-
-    def _preformatted(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        page = self.page
-        page.pre = opens
-        if opens:
-            page.pre_opens, page.pre_indent = True, ""
-        else:
-            if self.o.backquote_code_style:
-                page.lay(f"\n{page.pre_indent}```")
-            if self.o.mark_code:
-                page.lay("\n[/code]")
-        page.block()
-
-    # -- spans
-
-    def _mark(self, mark: str, opens: bool, apart: bool) -> None:
-        if opens and apart:
-            mark = " " + mark
-            self.before += " "
-        self.page.put(mark)
-        if opens:
-            self.opened_mark = True
-
-    def _emphasis(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if not self.o.ignore_emphasis:
-            last = self.before[-1:]
-            # A character beyond ASCII counts as a letter here, whatever it is.
-            self._mark(self.o.emphasis_mark, opens, bool(last) and last not in " \t\n\r\f\v" and last not in _PUNCTUATION)
-
-    def _strong(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if not self.o.ignore_emphasis:
-            mark = self.o.strong_mark
-            self._mark(mark, opens, bool(mark) and self.before[-1:] == mark[:1])
-
-    def _struck(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        self._mark("~~", opens, self.before.endswith("~"))
-
-    def _code(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if not self.page.pre:
-            self.page.put("`")
-            self.page.code = not self.page.code
-
-    def _abbreviation(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        page = self.page
-        if opens:
-            self.abbreviation, page.abbreviating = attrs.get("title"), ""
-            return
-        if self.abbreviation is not None and page.abbreviating is not None:
-            page.abbreviations[page.abbreviating] = self.abbreviation
-        self.abbreviation = page.abbreviating = None
-
-    def _inline_quote(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        self.page.put(self.o.close_quote if self.quoting else self.o.open_quote)
-        self.quoting = not self.quoting
-
-    def _raised(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if self.o.include_sup_sub:
-            self.page.put(f"<{tag}>" if opens else f"</{tag}>")
-
-    # -- lists and tables
-
-    def _definitions(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if tag == "dl" and opens:
-            self.page.block()
-        elif tag == "dd" and opens:
-            self.page.put("    ")
-        elif tag != "dl" and not opens:
-            self.page.line()
-
-    def _list(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        if not self.lists and not self.after_list:
-            self.page.block()
-        if opens:
-            self.lists.append(List(X.list_kind(style) if self.o.google_doc else tag, X.list_start(attrs)))
-        elif self.lists:
-            self.lists.pop()
-            if not self.lists and not self.o.google_doc:
-                self.page.put("\n")
-
-    def _item(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        page = self.page
-        page.item_indent = ""
-        page.line()
-        if not opens:
-            return
-        now = self.lists[-1] if self.lists else List("ul", 0)
-        if self.o.google_doc:
-            page.put("  " * X.nesting(style, self.o.google_list_indent))
-        else:
-            levels = self.lists or [now]
-            page.item_indent = "  " + "".join("   " if x.kind == "ol" else "  " for x in levels[:-1])
-            page.put(page.item_indent)
-        if now.kind == "ul":
-            page.item_indent += "  "
-            page.put(f"{self.o.ul_item_mark} ")
-        else:
-            now.number += 1
-            page.item_indent += "   "
-            page.put(f"{now.number}. ")
-        page.fresh = True
-
-    def _table(self, tag: str, attrs: Attributes, opens: bool, style: X.Style) -> None:
-        page, cell = self.page, tag in ("td", "th")
-        if self.o.ignore_tables:
-            if tag == "tr" and not opens:
-                page.soft_line()
-            return
-        if self.o.bypass_tables:
-            if opens:
-                page.soft_line()
-                page.put(f"<{tag}>\n\n" if cell else f"<{tag}>")
-            else:
-                page.put(f"\n</{tag}>" if cell else f"</{tag}>")
-            return
-        if tag == "table":
-            if opens:
-                self.first_row = True
-            if self.o.pad_tables:
-                if not opens:
-                    page.soft_line()
-                page.put(X.TABLE_MARK)
-                page.put("  \n")
-        elif cell and opens:
-            if self.next_cell:
-                page.put("| ")
-            self.next_cell = True
-            self.cells += 1
-        elif tag == "tr":
-            if opens:
-                self.cells = 0
-            if opens or not self.explicit:
-                return  # a row without an end tag runs on
-            self.next_cell = False
-            page.soft_line()
-            if self.first_row:
-                if self.cells:
-                    page.put("|".join(["---"] * self.cells))
-                page.soft_line()
-                self.first_row = False
-
-    # -- styled documents
-
-    def _styled(self, attrs: Attributes, opens: bool) -> tuple[Attributes, X.Style, X.Style]:
-        if opens:
-            parent = self.styles[-1][1] if self.styles else {}
-            style = X.element_style(attrs, self.sheet, parent)
-            self.styles.append((attrs, style))
-            return attrs, style, parent
-        attrs, style = self.styles.pop() if self.styles else ({}, {})
-        return attrs, style, self.styles[-1][1] if self.styles else {}
-
-    def _style_marks(self, opens: bool, style: X.Style, parent: X.Style) -> None:
-        page, mine, above = self.page, X.emphasis_of(style), X.emphasis_of(parent)
-        struck = "line-through" in mine and self.o.hide_strikethrough
-        bold = any(v in mine and v not in above for v in self.o.bold_text_style_values)
-        italic = "italic" in mine and "italic" not in above
-        fixed = X.fixed_width(style) and not X.fixed_width(parent) and not page.pre
-        marks = [(italic, self.o.emphasis_mark), (bold, self.o.strong_mark), (fixed, "`")]
-        some = any(m for m, _ in marks)
-        if opens:
-            self.emphasised += some
-            page.quiet += struck
-            for on, mark in marks:
-                if on:
-                    page.put(mark)
-                    page.swallow_space += 1
-            if fixed:
-                page.code = True
-            return
-        if some:
-            self.emphasised -= 1
-            page.space = False
-        for on, mark in reversed(marks):
-            if on:
-                if page.swallow_space:  # nothing was emphasised
-                    page.swallow_space -= 1
-                else:
-                    page.put(mark)
-                if mark == "`":
-                    page.code = False
-        if (bold or italic) and not self.emphasised:
-            page.put(" ")
-        page.quiet -= struck
-
-
-Rule = Callable[[Writer, str, Attributes, bool, X.Style], None]
-
-
-def _rules(**tags: Rule) -> dict[str, Rule]:
-    return {t: rule for names, rule in tags.items() for t in names.split("_")}
-
-
-RULES = _rules(
-    p_div=Writer._paragraph, br=Writer._line_break, hr=Writer._rule, head_style_script=Writer._hidden, body=Writer._body, blockquote=Writer._quotation,
-    em_i_u=Writer._emphasis, strong_b=Writer._strong, del_strike_s=Writer._struck, kbd_code_tt=Writer._code, abbr=Writer._abbreviation, q=Writer._inline_quote,
-    a=Writer._anchor, img=Writer._image, dl_dt_dd=Writer._definitions, ol_ul=Writer._list, li=Writer._item, table_tr_td_th=Writer._table, pre=Writer._preformatted, sup_sub=Writer._raised,
-)
-# Their rules come before the marks of styled documents.
-_EARLY = frozenset("p div br hr head style script body blockquote em i u strong b del strike s".split())
+_SPACE_PLUS = re.compile(r"[ \t\n\r\f\v]\+")  # lines with it are lost with the option compat
 
 
 def _wrapped(text: str, o: Options) -> str:
@@ -596,6 +28,8 @@ def _wrapped(text: str, o: Options) -> str:
                 out.append("\n")
                 blank += 1
         elif X.keeps_line(line, o.wrap_links, o.wrap_list_items, o.wrap_tables):
+            if o.compat and _SPACE_PLUS.search(line):
+                continue
             out.append(line + "\n")
             blank = 1
         else:
@@ -609,10 +43,6 @@ def _wrapped(text: str, o: Options) -> str:
     return X.align_tables(text) if o.pad_tables else text
 
 
-def _decoded(pieces: list[html_tree.Piece], o: Options) -> str:
-    return "".join(X.entity(s, o.unicode_snob) if e else X.plain(s) for s, e in pieces)
-
-
 def convert(source: str | None, options: Options = DEFAULTS) -> str | None:
     """The Markdown of an HTML text; null stays null."""
     if source is None:
@@ -620,12 +50,7 @@ def convert(source: str | None, options: Options = DEFAULTS) -> str | None:
     source = source.strip(" \t\n\r\0\v")
     if not source:
         return ""
-    w = Writer(options)
-    for kind, tag, more in html_tree.events(html_tree.parse(source)):
-        if kind == "text":
-            w.text(more)
-        elif kind == "end":
-            w.end(tag, more)
-        else:
-            w.start(tag, {k: _decoded(v, options) for k, v in more.items()})
-    return _wrapped(w.finish(), options)
+    c, layout = compose(source, options), Layout(options)
+    for piece in [*c.pieces, Piece("line")]:
+        layout.add(piece)
+    return _wrapped(layout.end(c.abbreviations).replace(X.NBSP, "\u00a0" if options.unicode_snob else " "), options)

@@ -49,6 +49,7 @@ class Options:
     emphasis_mark: str = "_"
     strong_mark: str = "**"
     hide_strikethrough: bool = False
+    compat: bool = False  # lose unwrapped lines that hold a space and a plus
 
     def __post_init__(self):
         for f in fields(self):

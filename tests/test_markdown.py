@@ -81,6 +81,23 @@ CASES = [
     ("bold values", "<span style='font-weight:600'>a</span>", {"google_doc": True, "bold_text_style_values": ("600",)}, "**a**"),
     ("struck", "a<span style='text-decoration:line-through'>b</span>", {"google_doc": True, "hide_strikethrough": True}, "a"),
     ("list levels", "<ul style='list-style-type:disc'><li style='margin-left:40px'>a</ul>", {"google_doc": True, "google_list_indent": 20, "body_width": 0}, "    * a"),
+    # a second case of options that are seldom used
+    ("footnotes by paragraph only when due", "<p>a<p><a href='/x'>b</a> c<p>d<p>e", {"inline_links": False, "links_each_paragraph": True, "body_width": 0}, "a\n\n[b][1] c\n\n   [1]: /x\n\nd\n\ne"),
+    ("list levels of the default indent", "<ul style='list-style-type:disc'><li style='margin-left:72pt'>a</ul>", {"google_doc": True, "body_width": 0}, "    * a"),
+    ("bold value that is not listed", "<span style='font-weight:700'>a</span>", {"google_doc": True, "bold_text_style_values": ("600",), "body_width": 0}, "a"),
+    ("no anchors, but images", "<a href='/x'><img src='/i'></a>", {"ignore_anchors": True}, "![](/i)"),
+    ("no images in links", "<a href='/x'><img src='/i'>a</a>", {"ignore_images": True}, "[a](/x)"),
+    ("no emphasis nested", "<b>a<i>b</i></b>c", {"ignore_emphasis": True}, "abc"),
+    ("not automatic in references", "<a href='http://a/'>http://a/</a>", {"use_automatic_links": False, "inline_links": False}, "[http://a/][1]\n\n   [1]: http://a/"),
+    ("opening quotation mark", "<q>a</q> <q>b</q>", {"open_quote": "<<"}, "<<a\" <<b\""),
+    ("closing quotation mark nested", "<q>a<q>b</q></q>", {"open_quote": "(", "close_quote": ")"}, "(a)b()"),
+    ("lines with a plus stay", "<pre>a +b\nc</pre>d", {}, "    a +b\n    c\n\nd"),
+    ("lines with a plus are lost", "<pre>a +b\nc</pre>d", {"compat": True}, "    c\n\nd"),
+    ("notes of hidden references", "<head><title><a href='/x'>t</a></title></head><body><a href='/y'>a</a>", {"inline_links": False}, "[a][1]\n\n   [1]: /y"),
+    ("abbreviation with a reference", "<abbr title='T'><a href='/x'>a</a></abbr>", {"inline_links": False}, "[a][1]\n\n   [1]: /x\n\n  *[[a][1]]: T"),
+    ("heading later in a link", "x <a href='/x'>\n<h3>t</h3></a> y", {"body_width": 0}, "x ### [t](/x) y"),
+    ("code in a quotation", "<blockquote>a<pre>b\nc</pre></blockquote>", {"body_width": 0}, "> a\n>     \n>     \n>     b\n>     c"),
+    ("code in an item", "<ul><li>a<pre>b</pre><li>c</ul>", {"backquote_code_style": True, "body_width": 0}, "  * a\n    ```\n    b\n    ```\n\n  * c"),
     # wrapping
     ("wrapped", "aaa bbb ccc", {"body_width": 7}, "aaa bbb\nccc"),
     ("hyphens", "aaaa-bbbb cc", {"body_width": 6}, "aaaa-\nbbbb\ncc"),
@@ -103,6 +120,9 @@ def test_exact_ends():
 def test_callback_swallows_tags_not_text():
     hook = lambda w, tag, attrs, opens: tag == "b"
     assert convert("<b>a</b><i>b</i>", Options(tag_callback=hook)).strip() == "a _b_"
+    # An element whose start is swallowed has no end either.
+    start = lambda w, tag, attrs, opens: tag == "blockquote" and opens
+    assert convert("<blockquote>a</blockquote><p>b", Options(tag_callback=start, body_width=0)).strip() == "a\n\nb"
 
 
 def test_invalid_base_raises():
