@@ -30,16 +30,16 @@ def left_trimmed(c: Column | str) -> Column:
 
 
 def escape_link(c: Column | str) -> Column:
-    return F.regexp_replace(_text(c), r"([\\\[\]()])", r"\\$1")
+    return F.regexp_replace(_text(c), T.LINK_CHARACTERS, r"\\$1")
 
 
 def escape(c: Column | str, snob: bool = False) -> Column:
     """Escape running text; ``(?d)`` keeps line feed the only line end."""
-    out = F.regexp_replace(_text(c), r"(\\)(?=[\\`*_{}\[\]()#+\-.!])", r"\\$1")
+    out = F.regexp_replace(_text(c), T.BACKSLASH, r"\\$1")
     if snob:
-        out = F.regexp_replace(out, r"([`*_{}\[\]()#!])", r"\\$1")
-    for start, mark, after in ((rf"{_ASCII_SPACE}*[0-9]+", r"\.", _ASCII_SPACE), (rf"{_ASCII_SPACE}*", r"\+", _ASCII_SPACE), (rf"{_ASCII_SPACE}*", "-", r"[\t-\r \-]")):
-        out = F.regexp_replace(out, rf"(?md)^({start})({mark})(?={after})", r"$1\\$2")
+        out = F.regexp_replace(out, T.ALL_CHARACTERS, r"\\$1")
+    for start in (T.ORDERED_START, T.PLUS_START, T.DASH_START):
+        out = F.regexp_replace(out, f"(?md){start}", r"$1\\$2")
     return out
 
 

@@ -11,6 +11,11 @@ from html.entities import html5
 
 from pagemill.functions import tables as T
 
+try:
+    import regex
+except ImportError:  # then characters are told apart near enough
+    regex = None
+
 NBSP = ""  # stands for a non-breaking space until the text is finished (a private character)
 _BY_CODE = T.stand_ins_by_code()
 _SPACE = " \t\n\r\f\v"
@@ -216,12 +221,15 @@ def keeps_line(line: str, wrap_links: bool, wrap_list_items: bool, wrap_tables:
 
 
 def graphemes(text: str) -> list[str]:
-    """User-perceived characters, near enough: marks, joiners and modifiers stay with what they follow."""
+    """User-perceived characters; without the module regex near enough: marks, joiners and modifiers stay with what they follow."""
     if text.isascii():
         return list(text)
+    text = unicodedata.normalize("NFC", text)
+    if regex is not None:
+        return regex.findall(r"\X", text)
     out: list[str] = []
-    for c in unicodedata.normalize("NFC", text):
-        joined = out and (unicodedata.category(c) in ("Mn", "Me", "Mc") or c in "‍️" or "\U0001f3fb" <= c <= "\U0001f3ff" or out[-1].endswith("‍"))
+    for c in text:
+        joined = out and (unicodedata.category(c) in ("Mn", "Me", "Mc") or c in "\u200d\ufe0f" or "\U0001f3fb" <= c <= "\U0001f3ff" or out[-1].endswith("\u200d"))
         if joined:
             out[-1] += c
         else:
@@ -229,11 +237,11 @@ def graphemes(text: str) -> list[str]:
     return out
 
 
-def wrap(text: str, width: int = 75) -> list[str]:
+def wrap(text: str, width: int = 75, cut: bool = False) -> list[str]:
     """Greedy lines of at most ``width`` characters, broken at spaces and after inner hyphens.
 
-    Long words stay whole; a hyphen stays at the end of its line, which may then be
-    one character longer.
+    Long words stay whole, unless ``cut``; a hyphen stays at the end of its line, which
+    may then be one character longer.
     """
     if width <= 0:
         return [text]
@@ -255,6 +263,9 @@ def wrap(text: str, width: int = 75) -> list[str]:
             elif i - begin >= width and begin < space:
                 out.append("".join(chars[begin : space + (chars[space] == "-")]))
                 begin = space = space + 1
+            elif cut and i - begin >= width:
+                out.append("".join(chars[begin:i]))
+                begin = space = i
         out.append("".join(chars[begin:]))
     return out
 

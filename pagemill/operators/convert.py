@@ -104,13 +104,13 @@ def events(pages: DataFrame, column: str = "html") -> DataFrame:
     return spread(pages.select("page_id", column)).select("page_id", F.explode(html_events(column)).alias("e")).select("page_id", "e.*")
 
 
-def wrap(text: Column | str, width: int = 75) -> Column:
-    """Word wrap by user-perceived characters, lines joined by line feeds."""
+def wrap(text: Column | str, width: int = 75, line_break: str = "\n", cut: bool = False) -> Column:
+    """Word wrap by user-perceived characters, lines joined by ``line_break``; with ``cut`` long words are cut."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            yield s.map(lambda t: "\n".join(X.wrap(t, width)), na_action="ignore")
+            yield s.map(lambda t: line_break.join(X.wrap(t, width, cut)), na_action="ignore")
 
     return run(text)
 

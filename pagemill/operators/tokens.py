@@ -63,11 +63,34 @@ def anchor_depth(pages: DataFrame) -> DataFrame:
 
 
 def visible_text(pages: DataFrame) -> DataFrame:
-    """page_id and the text outside of head, scripts and styles."""
-    step = F.when(F.col("tag") != "head", 0).when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    shown = _dealt(pages).withColumn("quiet", F.sum(step).over(_so_far())).where("quiet = 0 and kind = 'text'")
-    joined = shown.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tok"))).alias("parts"))
-    return joined.select("page_id", F.array_join(F.transform("parts", lambda p: p["tok"]), "").alias("text"))
+    """page_id and the text outside of head, scripts and styles; a page without any has an empty one.
+
+    Either tag of body starts anew, and an end tag of head without a start hides nothing.
+    """
+    t = _dealt(pages).withColumn("part", F.sum(F.when((F.col("tag") == "body") & F.col("kind").isin("open", "close"), 1).otherwise(0)).over(_so_far()))
+    part = W.partitionBy("page_id", "part").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = t.withColumn("s", F.sum(_stepped("head")).over(part))
+    quiet = F.col("s") - F.least(F.lit(0), F.min("s").over(part))
+    shown = t.withColumn("quiet", quiet).withColumn("shown", F.when((F.col("quiet") == 0) & (F.col("kind") == "text"), F.struct("pos", "tok")))
+    joined = shown.groupBy("page_id").agg(F.array_sort(F.collect_list("shown")).alias("parts"))
+    bare = pages.where(F.coalesce("html", F.lit("")) == "").select("page_id", F.lit("").alias("text"))  # these have no tokens
+    return joined.select("page_id", F.array_join(F.transform("parts", lambda p: p["tok"]), "").alias("text")).union(bare)
+
+
+def _nested(t: DataFrame, *tags: str) -> DataFrame:
+    """Tokens with ``depth`` and ``no``: how many elements of ``tags`` are open there, and which the innermost is.
+
+    Elements are numbered by their start tags.  A start and an end tag count as inside
+    of their element; an end tag without a start is inside of none.
+    """
+    mine = F.col("tag").isin(*tags)
+    t = t.withColumn("step", F.when(mine & (F.col("kind") == "open"), 1).when(mine & (F.col("kind") == "close"), -1).otherwise(0))
+    t = t.withColumn("s", F.sum("step").over(_so_far())).withColumn("opened", F.sum(F.when(F.col("step") == 1, 1).otherwise(0)).over(_so_far()))
+    t = t.withColumn("after", F.col("s") - F.least(F.lit(0), F.min("s").over(_so_far())))
+    t = t.withColumn("depth", F.when(F.col("step") == -1, F.lag("after", 1, 0).over(_page())).otherwise(F.col("after")).cast("int"))
+    same = W.partitionBy("page_id", "depth").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    no = F.when(F.col("depth") > 0, F.last(F.when(F.col("step") == 1, F.col("opened")), ignorenulls=True).over(same))
+    return t.withColumn("no", no.cast("int")).drop("s", "opened", "after")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -77,10 +100,16 @@ def links(pages: DataFrame) -> DataFrame:
 
 
 def reference_numbers(pages: DataFrame) -> DataFrame:
-    """page_id, href, title, ref_no: distinct links numbered by first occurrence."""
-    found = _dealt(pages).where("kind = 'open' and tag = 'a'").select("page_id", "pos", attribute("href").alias("href"), attribute("title").alias("title")).where("href is not null")
-    first = found.groupBy("page_id", "href", "title").agg(F.min("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
-    return first.select("page_id", "href", "title", "n", F.row_number().over(_page()).alias("ref_no"))
+    """page_id, href, title, n, ref_no: distinct links numbered in the order in which they close, the inner before the outer.
+
+    A link that is not closed ends with the page.
+    """
+    t = _nested(_dealt(pages).where("tag = 'a' and kind in ('open', 'close')"), "a").where("no is not null")
+    one = t.groupBy("page_id", "no").agg(F.min(F.when(F.col("kind") == "close", F.col("pos"))).alias("closed"), F.min(F.when(F.col("kind") == "open", F.struct("pos", "tok"))).alias("o"))
+    found = one.select("page_id", "closed", F.col("o.pos").alias("pos"), F.col("o.tok").alias("tok")).select("page_id", "closed", "pos", attribute("href").alias("href"), attribute("title").alias("title")).where("href is not null")
+    place = F.struct(F.col("closed").isNull().alias("left_open"), "closed", (-F.col("pos")).alias("pos"))
+    first = found.groupBy("page_id", "href", "title").agg(F.min(place).alias("place"), F.count(F.lit(1)).alias("n"))
+    return first.select("page_id", "href", "title", "n", F.row_number().over(W.partitionBy("page_id").orderBy("place")).alias("ref_no"))
 
 
 def headings(pages: DataFrame) -> DataFrame:
@@ -96,14 +125,21 @@ def headings(pages: DataFrame) -> DataFrame:
 
 
 def list_items(pages: DataFrame) -> DataFrame:
-    """page_id, li_idx, list_no, number and level of each list item."""
-    is_list = F.col("tag").isin("ol", "ul")
-    step = F.when(is_list & (F.col("kind") == "open"), 1).when(is_list & (F.col("kind") == "close"), -1).otherwise(0)
-    t = _dealt(pages).where("kind in ('open', 'close')")
-    t = t.withColumn("level", F.sum(step).over(_so_far())).withColumn("list_no", F.sum(F.when(step == 1, 1).otherwise(0)).over(_so_far()))
-    items = t.where("kind = 'open' and tag = 'li'")
-    number = F.row_number().over(W.partitionBy("page_id", "list_no", "level").orderBy("pos"))
-    return items.select("page_id", F.row_number().over(_page()).alias("li_idx"), F.col("list_no").cast("int").alias("list_no"), number.alias("number"), F.col("level").cast("int").alias("level"))
+    """page_id, li_idx, list_no, list_kind, number and level of each list item.
+
+    An item belongs to the innermost list that is open; lists are numbered by their
+    start tags (0: an item outside of lists).  Items of a list are numbered from its
+    ``start``, if that is of digits, or else from 1.
+    """
+    t = _nested(_dealt(pages).where("kind in ('open', 'close') and tag in ('ol', 'ul', 'li')"), "ol", "ul").where("kind = 'open'")
+    own = W.partitionBy("page_id", "no").orderBy("pos")
+    start = F.regexp_extract(F.coalesce(attribute("start"), F.lit("")), "^([0-9]{1,9})$", 1)
+    t = t.withColumn("kind_of", F.first("tag").over(own)).withColumn("from", F.first(F.when((F.col("tag") == "ol") & (start != ""), start.try_cast("int")).otherwise(1)).over(own))
+    t = t.withColumn("nth", F.sum(F.when(F.col("tag") == "li", 1).otherwise(0)).over(own.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    items = t.where("tag = 'li'")
+    outside = F.col("no").isNull()
+    number = F.when(outside, F.col("nth")).otherwise(F.col("from") - 1 + F.col("nth")).cast("int")
+    return items.select("page_id", F.row_number().over(_page()).alias("li_idx"), F.coalesce("no", F.lit(0)).alias("list_no"), F.when(outside, "ul").otherwise(F.col("kind_of")).alias("list_kind"), number.alias("number"), F.col("depth").alias("level"))
 
 
 def images(pages: DataFrame) -> DataFrame:
@@ -112,18 +148,29 @@ def images(pages: DataFrame) -> DataFrame:
     return found.where("src is not null and src <> ''")
 
 
+def _rows(pages: DataFrame) -> DataFrame:
+    """Tokens inside tables, by the innermost one (table_no), with the number of its rows so far."""
+    t = _nested(_dealt(pages), "table").where("no is not null").withColumnRenamed("no", "table_no")
+    so_far = W.partitionBy("page_id", "table_no").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return t.withColumn("row_no", F.sum(F.when((F.col("kind") == "open") & (F.col("tag") == "tr"), 1).otherwise(0)).over(so_far).cast("int"))
+
+
 def table_cells(pages: DataFrame) -> DataFrame:
-    """page_id, table_no, row_no, col_no, text and width of each cell of tables that are not nested."""
-    opens = lambda *tags: F.when((F.col("kind") == "open") & F.col("tag").isin(*tags), 1).otherwise(0)
-    t = _dealt(pages).withColumn("table_no", F.sum(opens("table")).over(_so_far())).withColumn("row_at", F.sum(opens("tr")).over(_so_far())).withColumn("cell_at", F.sum(opens("td", "th")).over(_so_far()))
-    closed = F.when((F.col("kind") == "close") & F.col("tag").isin("td", "th", "tr", "table") | (opens("td", "th", "tr", "table") == 1), F.col("pos"))
-    t = t.withColumn("cut", F.last(closed, ignorenulls=True).over(_so_far())).withColumn("opened", F.last(F.when(opens("td", "th") == 1, F.col("pos")), ignorenulls=True).over(_so_far()))
-    inside = t.where("opened = cut")
-    made = inside.groupBy("page_id", "table_no", "row_at", "cell_at").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "tok")))).alias("parts"))
+    """page_id, table_no, row_no, col_no, text and width of each cell; the text of a table inside a cell is in cells of its own.
+
+    Tables are numbered by their start tags, rows by those of their table.
+    """
+    cell = F.col("tag").isin("td", "th")
+    opens = F.when((F.col("kind") == "open") & cell, 1).otherwise(0)
+    own = W.partitionBy("page_id", "table_no").orderBy("pos")
+    so_far = own.rowsBetween(W.unboundedPreceding, W.currentRow)
+    t = _rows(pages).withColumn("cell_at", F.sum(opens).over(so_far))
+    edge = F.when(F.col("kind").isin("open", "close") & F.col("tag").isin("td", "th", "tr", "table"), F.col("pos"))
+    t = t.withColumn("cut", F.last(edge, ignorenulls=True).over(so_far)).withColumn("begun", F.last(F.when(opens == 1, F.col("pos")), ignorenulls=True).over(so_far))
+    made = t.where("begun = cut").groupBy("page_id", "table_no", "row_no", "cell_at").agg(F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "tok")))).alias("parts"))
     text = C.trimmed(F.array_join(F.transform("parts", lambda p: p["tok"]), ""))
-    rows = W.partitionBy("page_id", "table_no").orderBy("row_at")
-    cols = W.partitionBy("page_id", "table_no", "row_at").orderBy("cell_at")
-    return made.select("page_id", F.col("table_no").cast("int").alias("table_no"), F.dense_rank().over(rows).alias("row_no"), F.row_number().over(cols).alias("col_no"), text.alias("text"), F.length(text).alias("width"))
+    cols = W.partitionBy("page_id", "table_no", "row_no").orderBy("cell_at")
+    return made.select("page_id", "table_no", "row_no", F.row_number().over(cols).alias("col_no"), text.alias("text"), F.length(text).alias("width"))
 
 
 def styles(pages: DataFrame) -> DataFrame:
@@ -188,12 +235,45 @@ def abbreviations(pages: DataFrame) -> DataFrame:
 
 
 def table_rows(pages: DataFrame) -> DataFrame:
-    """page_id, row_no, n_cells and whether the row has its own end tag, of tables that are not nested."""
-    opens = F.when((F.col("kind") == "open") & (F.col("tag") == "tr"), 1).otherwise(0)
-    t = _dealt(pages).withColumn("row_no", F.sum(opens).over(_so_far())).where("row_no > 0")
+    """page_id, table_no, row_no, n_cells and whether the row has its own end tag; a row's cells are those of its table only."""
     ends = F.max(F.when((F.col("kind") == "close") & (F.col("tag") == "tr"), 1).otherwise(0)) == 1
     cells = F.sum(F.when((F.col("kind") == "open") & F.col("tag").isin("td", "th"), 1).otherwise(0))
-    return t.groupBy("page_id", "row_no").agg(cells.alias("n_cells"), ends.alias("explicit")).withColumn("row_no", F.col("row_no").cast("int"))
+    return _rows(pages).where("row_no > 0").groupBy("page_id", "table_no", "row_no").agg(cells.alias("n_cells"), ends.alias("explicit"))
+
+
+SPANS = {"em": "emphasis", "i": "emphasis", "u": "emphasis", "strong": "strong", "b": "strong", "del": "struck", "strike": "struck", "s": "struck"}
+
+
+def _texts_of(t: DataFrame) -> DataFrame:
+    """Of each element that _nested() numbers: page_id, no, depth, tag, opened, and the text that has it as the innermost."""
+    made = t.where("no is not null").groupBy("page_id", "no").agg(
+        F.min(F.when(F.col("step") == 1, F.struct("pos", "tag", "depth"))).alias("o"), F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "tok")))).alias("parts")
+    )
+    return made.select("page_id", "no", F.col("o.depth").alias("depth"), F.col("o.tag").alias("tag"), F.col("o.pos").alias("opened"), F.array_join(F.transform("parts", lambda p: p["tok"]), "").alias("text"))
+
+
+def spans(pages: DataFrame) -> DataFrame:
+    """page_id, span_no, kind (emphasis, strong or struck), depth and the text whose innermost span each is."""
+    found = _texts_of(_nested(_dealt(pages), *SPANS))
+    kind = F.create_map(*(F.lit(x) for kv in SPANS.items() for x in kv))[F.col("tag")]
+    return found.select("page_id", F.col("no").alias("span_no"), kind.alias("kind"), "depth", "text")
+
+
+def code_blocks(pages: DataFrame) -> DataFrame:
+    """page_id, block_no and the text of each pre, without the tags in it."""
+    return _texts_of(_nested(_dealt(pages), "pre")).select("page_id", F.col("no").alias("block_no"), "text")
+
+
+def definitions(pages: DataFrame) -> DataFrame:
+    """page_id, list_no, item_no, kind (term or definition) and text of each dt and dd of a dl."""
+    t = _nested(_dealt(pages), "dl").where("no is not null")
+    so_far = W.partitionBy("page_id", "no").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    mine = F.col("tag").isin("dt", "dd")
+    t = t.withColumn("item_no", F.sum(F.when(mine & (F.col("kind") == "open"), 1).otherwise(0)).over(so_far).cast("int"))
+    t = t.withColumn("last", F.last(F.when((mine | (F.col("tag") == "dl")) & F.col("kind").isin("open", "close"), F.struct("kind", "tag")), ignorenulls=True).over(so_far))
+    made = t.where("item_no > 0 and last.kind = 'open' and last.tag in ('dt', 'dd')").groupBy("page_id", "no", "item_no").agg(F.max("last.tag").alias("tag"), F.array_sort(F.collect_list(F.when(F.col("kind") == "text", F.struct("pos", "tok")))).alias("parts"))
+    text = C.trimmed(F.array_join(F.transform("parts", lambda p: p["tok"]), ""))
+    return made.select("page_id", F.col("no").alias("list_no"), "item_no", F.when(F.col("tag") == "dt", "term").otherwise("definition").alias("kind"), text.alias("text"))
 
 
 def shown_links(pages: DataFrame, skip_internal: bool = True, ignore_mailto: bool = False) -> DataFrame:
@@ -207,20 +287,23 @@ def shown_links(pages: DataFrame, skip_internal: bool = True, ignore_mailto: boo
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, pos and line of each text."""
-    return docs.select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    """key, pos and line of each text; a null text is one empty line."""
+    return docs.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("pos", "line"))
 
 
 def fenced_lines(docs: DataFrame, mark: str = "```", key: str = "doc_id", text: str = "text") -> DataFrame:
-    """lines() with whether each is inside marks, or opens them; each line that starts with the mark switches."""
+    """lines() with whether each is inside marks, or opens them; each line that starts with the mark switches.
+
+    A row is a text of its own, whatever its key.  Rows are dealt out whole, before they become lines.
+    """
+    rows = docs.select(key, F.coalesce(text, F.lit("")).alias("text"), F.monotonically_increasing_id().alias("row")).repartition("row")
+    each = rows.select(key, "row", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     switch = F.when(C.left_trimmed("line").startswith(mark), 1).otherwise(0)
-    so_far = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    return lines(docs, key, text).select(key, "pos", "line", (F.sum(switch).over(so_far) % 2 == 1).alias("fenced"))
+    so_far = W.partitionBy("row").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return each.select(key, "pos", "line", (F.sum(switch).over(so_far) % 2 == 1).alias("fenced"))
 
 
 def few_blank_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key and text, with one blank line at most between others."""
-    before = F.lag("line").over(W.partitionBy(key).orderBy("pos"))
-    kept = lines(docs, key, text).withColumn("before", before).where("line <> '' or before is null or before <> ''")
-    made = kept.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("ls"))
-    return made.select(key, F.array_join(F.transform("ls", lambda x: x["line"]), "\n").alias("text"))
+    """key and text, with one blank line at most between others, and none at the start or end beside the one; null stays null."""
+    c = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.col(text), r"\n{3,}", "\n\n"), r"\A\n\n", "\n"), r"\n\n\z", "\n")
+    return docs.select(key, F.when(F.col(text).rlike(r"\A\n+\z"), "").otherwise(c).alias("text"))

@@ -6,17 +6,20 @@ their columns, in the same way in the SQL.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill import streaming
+from pagemill import sources, streaming
 from pagemill.functions import columns as C
+from pagemill.functions import text as X
 from pagemill.functions.tables import C1, stand_ins_by_code
 from pagemill.operators import convert, tokens
 from pagemill.options import Options
+from pagemill.plans import golden
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,6 +40,16 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one only in local mode, where the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='shared')}"
+    return folder
+
+
 # -- pieces of SQL
 
 _TOKEN = tokens.TOKEN.replace("'", "''")
@@ -116,8 +129,12 @@ def anchor_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.anchor_depth(_read(spark, sf_dir, "pages"))
 
 
-@_query(f"""WITH {_TOKENS}, q AS (SELECT *, sum({_step('head')}) {_SO_FAR} AS quiet FROM t)
-SELECT page_id, string_agg(tok, '' ORDER BY pos) AS text FROM q WHERE quiet = 0 AND kind = 'text' GROUP BY page_id""")
+# Another rule than the view's: a text is hidden if, after the last tag of body before it, a start tag of head has had no end tag.
+@_query(f"""WITH {_TOKENS}, k AS (SELECT page_id, pos, tag, kind FROM t WHERE tag IN ('head', 'body') AND kind IN ('open', 'close')),
+h AS (SELECT DISTINCT x.page_id, x.pos FROM t x JOIN k o ON o.page_id = x.page_id AND o.tag = 'head' AND o.kind = 'open' AND o.pos < x.pos WHERE x.kind = 'text'
+  AND NOT EXISTS (SELECT 1 FROM k c WHERE c.page_id = o.page_id AND c.pos > o.pos AND c.pos < x.pos AND (c.tag = 'body' OR c.kind = 'close'))),
+v AS (SELECT page_id, string_agg(tok, '' ORDER BY pos) AS text FROM t ANTI JOIN h USING (page_id, pos) WHERE kind = 'text' GROUP BY page_id)
+SELECT page_id, coalesce(text, '') AS text FROM pages LEFT JOIN v USING (page_id)""")
 def quiet_filter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.visible_text(_read(spark, sf_dir, "pages"))
 
@@ -130,12 +147,61 @@ def links_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.links(_read(spark, sf_dir, "pages"))
 
 
-@_query(f"""WITH {_TOKENS}, {_LINKS}, g AS (SELECT page_id, href, title, min(pos) AS pos, count(*) AS n FROM l WHERE href IS NOT NULL GROUP BY ALL)
-SELECT page_id, href, title, n, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS ref_no FROM g""")
+# The end of an element is the first place after its start where fewer are open than just after the start.
+_CLOSED = "(SELECT min(c.pos) FROM ev c WHERE c.page_id = o.page_id AND c.pos > o.pos AND c.cum < o.cum)"
+
+
+@_query(f"""WITH {_TOKENS}, ev AS (SELECT *, sum(CASE WHEN kind = 'open' THEN 1 ELSE -1 END) {_SO_FAR} AS cum FROM t WHERE tag = 'a' AND kind IN ('open', 'close')),
+o AS (SELECT page_id, pos, cum, {_attribute('href')} AS href, {_attribute('title')} AS title FROM ev WHERE kind = 'open'),
+z AS (SELECT page_id, href, title, coalesce({_CLOSED}, 1000000000 - pos) AS place FROM o WHERE href IS NOT NULL),
+g AS (SELECT page_id, href, title, min(place) AS place, count(*) AS n FROM z GROUP BY ALL)
+SELECT page_id, href, title, n, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) AS INTEGER) AS ref_no FROM g""")
 def link_reference_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.reference_numbers(_read(spark, sf_dir, "pages"))
 
 
+def _by_order(spark: SparkSession, sf_dir: str, piece: Column, before: Column, after: str) -> DataFrame:
+    """page_id and html: a page of each order, with a piece for each of its lines in order."""
+    made = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_returnflag", piece.alias("h")))).alias("hs"))
+    return made.select("page_id", F.concat(before, F.array_join(F.transform("hs", lambda x: x["h"]), ""), F.lit(after)).alias("html"))
+
+
+def _by_flag(a: str, n: str, r: str) -> Column:
+    return F.when(F.col("l_returnflag") == "A", a).when(F.col("l_returnflag") == "N", n).otherwise(r)
+
+
+_NUMBERED = "n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS INTEGER) AS k FROM lineitem)"
+
+
+# From the rows that the pages are made of, without tokens: each has up to two tags.
+@_query(f"""WITH {_NUMBERED}, ev AS (SELECT l_orderkey AS page_id, k * 2 + j AS pos, CASE WHEN l_returnflag = 'R' THEN (CASE j WHEN 0 THEN -1 ELSE 0 END) WHEN l_returnflag = 'A' THEN 1 - j ELSE 0 END AS step,
+  (l_returnflag = 'N' AND j = 0) OR (l_returnflag <> 'N' AND j = 1) AS item, 1 AS list_from, 'ul' AS list_kind FROM n, (SELECT unnest([0, 1]) AS j)
+  UNION ALL SELECT l_orderkey, 0, 1, false, l_orderkey % 7, 'ol' FROM n GROUP BY l_orderkey),
+c AS (SELECT *, sum(step) {_SO_FAR} AS cum FROM ev),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS list_no, (SELECT min(x.pos) FROM c x WHERE x.page_id = c.page_id AND x.pos > c.pos AND x.cum < c.cum) AS ends FROM c WHERE step = 1),
+i AS (SELECT c.page_id, c.pos, max(o.list_no) AS list_no, count(o.list_no) AS level FROM c LEFT JOIN o ON o.page_id = c.page_id AND o.pos < c.pos AND (o.ends IS NULL OR o.ends > c.pos) WHERE c.item GROUP BY c.page_id, c.pos)
+SELECT i.page_id, CAST(row_number() OVER (PARTITION BY i.page_id ORDER BY i.pos) AS INTEGER) AS li_idx, coalesce(i.list_no, 0) AS list_no, coalesce(o.list_kind, 'ul') AS list_kind,
+  CAST(coalesce(o.list_from, 1) - 1 + row_number() OVER (PARTITION BY i.page_id, i.list_no ORDER BY i.pos) AS INTEGER) AS number, CAST(level AS INTEGER) AS level
+FROM i LEFT JOIN o ON o.page_id = i.page_id AND o.list_no = i.list_no""")
+def nested_list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists in lists, ends without starts, and lists that start at any number."""
+    start = F.concat(F.lit("<ol start="), F.col("page_id") % 7, F.lit(">"))
+    return tokens.list_items(_by_order(spark, sf_dir, _by_flag("<ul><li>a", "<li>n", "</ul><li>r"), start, "</ol>"))
+
+
+@_query(f"""WITH {_NUMBERED}, ev AS (SELECT l_orderkey AS page_id, k AS pos, '/' || l_linenumber AS href, CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END AS opens, CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS ends FROM n),
+st AS (SELECT page_id, pos * 4 AS pos, href, 1 AS step FROM ev WHERE opens = 1 UNION ALL SELECT page_id, pos * 4 + j, NULL, -1 FROM ev, (SELECT unnest([1, 2]) AS j) WHERE j <= ends),
+c AS (SELECT *, sum(step) {_SO_FAR} AS s FROM st), ev2 AS (SELECT *, s - least(0, min(s) {_SO_FAR}) AS cum FROM c),
+o AS (SELECT page_id, href, coalesce((SELECT min(x.pos) FROM ev2 x WHERE x.page_id = y.page_id AND x.pos > y.pos AND x.cum < y.cum), 1000000000 - y.pos) AS place FROM ev2 y WHERE step = 1),
+g AS (SELECT page_id, href, min(place) AS place, count(*) AS n FROM o GROUP BY ALL)
+SELECT page_id, href, CAST(NULL AS VARCHAR) AS title, n, CAST(row_number() OVER (PARTITION BY page_id ORDER BY place) AS INTEGER) AS ref_no FROM g""")
+def nested_reference_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links in links, ends without starts, and links that are left open."""
+    a = F.concat(F.lit("<a href='/"), F.col("l_linenumber"), F.lit("'>"))
+    piece = F.when(F.col("l_returnflag") == "A", F.concat(a, F.lit("a"))).when(F.col("l_returnflag") == "N", F.concat(a, F.lit("n</a>"))).otherwise("r</a></a>")
+    return tokens.reference_numbers(_by_order(spark, sf_dir, piece, F.lit(""), ""))
+
+
 _LEVEL = "CASE WHEN regexp_matches(tag, '^h[1-9]$') THEN CAST(substr(tag, 2, 1) AS INTEGER) ELSE 0 END"
 
 
@@ -147,19 +213,21 @@ def headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.headings(_read(spark, sf_dir, "pages"))
 
 
-_LIST_STEP = "CASE WHEN tag IN ('ol', 'ul') AND kind = 'open' THEN 1 WHEN tag IN ('ol', 'ul') AND kind = 'close' THEN -1 ELSE 0 END"
-
-
-@_query(f"""WITH {_TOKENS}, s AS (SELECT *, sum({_LIST_STEP}) {_SO_FAR} AS level, sum(CASE WHEN {_LIST_STEP} = 1 THEN 1 ELSE 0 END) {_SO_FAR} AS list_no FROM t WHERE kind IN ('open', 'close'))
-SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS li_idx, CAST(list_no AS INTEGER) AS list_no,
-  CAST(row_number() OVER (PARTITION BY page_id, list_no, level ORDER BY pos) AS INTEGER) AS number, CAST(level AS INTEGER) AS level
-FROM s WHERE kind = 'open' AND tag = 'li'""")
+@_query(f"""WITH {_TOKENS}, ev AS (SELECT *, sum(CASE WHEN tag = 'li' THEN 0 WHEN kind = 'open' THEN 1 ELSE -1 END) {_SO_FAR} AS cum FROM t WHERE tag IN ('ol', 'ul', 'li') AND kind IN ('open', 'close')),
+o AS (SELECT page_id, pos, tag, cum, CAST(row_number() OVER (PARTITION BY page_id ORDER BY pos) AS INTEGER) AS list_no FROM ev WHERE tag <> 'li' AND kind = 'open'),
+z AS (SELECT *, {_CLOSED} AS ends FROM o),
+i AS (SELECT l.page_id, l.pos, max(z.list_no) AS list_no, count(z.list_no) AS level FROM ev l LEFT JOIN z ON z.page_id = l.page_id AND z.pos < l.pos AND (z.ends IS NULL OR z.ends > l.pos) WHERE l.tag = 'li' AND l.kind = 'open' GROUP BY l.page_id, l.pos)
+SELECT i.page_id, CAST(row_number() OVER (PARTITION BY i.page_id ORDER BY i.pos) AS INTEGER) AS li_idx, coalesce(i.list_no, 0) AS list_no, coalesce(z.tag, 'ul') AS list_kind,
+  CAST(row_number() OVER (PARTITION BY i.page_id, i.list_no ORDER BY i.pos) AS INTEGER) AS number, CAST(level AS INTEGER) AS level
+FROM i LEFT JOIN z ON z.page_id = i.page_id AND z.list_no = i.list_no""")
 def list_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.list_items(_read(spark, sf_dir, "pages"))
 
 
-@_query(f"""WITH {_TOKENS}, s AS (SELECT page_id, pos, tok FROM t WHERE kind = 'raw' AND tag = 'style')
-SELECT page_id, 'p' AS selector, 'margin' AS property, regexp_extract(tok, 'margin:([^}}]*)', 1) AS value FROM s""")
+@_query(f"""WITH {_TOKENS}, c AS (SELECT page_id, pos, string_split(regexp_extract(tok, '(?is)^<style[^>]*>(.*)</style', 1), '}}') AS rs FROM t WHERE kind = 'raw' AND tag = 'style'),
+r AS (SELECT page_id, pos, unnest(rs) AS r FROM c), d AS (SELECT page_id, pos, trim(split_part(r, '{{', 1)) AS selector, string_split(split_part(r, '{{', 2), ';') AS ds FROM r WHERE contains(r, '{{')),
+p AS (SELECT page_id, pos, selector, unnest(ds) AS d, generate_subscripts(ds, 1) AS i FROM d)
+SELECT page_id, selector, lower(trim(split_part(d, ':', 1))) AS property, arg_max(lower(trim(substr(d, instr(d, ':') + 1))), i) AS value FROM p WHERE contains(d, ':') GROUP BY page_id, pos, selector, property""")
 def style_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.styles(_read(spark, sf_dir, "pages"))
 
@@ -170,9 +238,6 @@ def _made_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("page_id", F.concat(F.lit("<table>"), F.array_join(F.transform("rs", lambda x: x["r"]), ""), F.lit("</table>")).alias("html"))
 
 
-_NUMBERED = "n AS (SELECT *, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag) AS INTEGER) AS k FROM lineitem)"
-
-
 @_query(f"""WITH {_NUMBERED}, c AS (SELECT l_orderkey AS page_id, k AS row_no, unnest([CAST(l_linenumber AS VARCHAR), l_returnflag, '']) AS text, unnest([1, 2, 3]) AS col_no FROM n)
 SELECT page_id, 1 AS table_no, row_no, CAST(col_no AS INTEGER) AS col_no, text, CAST(length(text) AS INTEGER) AS width FROM c""")
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,9 +289,53 @@ def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.abbreviations(made.select("page_id", F.array_join(F.transform("hs", lambda x: x["h"]), "").alias("html")))
 
 
-@_query(f"""WITH {_NUMBERED} SELECT l_orderkey AS page_id, k AS row_no, CAST(3 AS BIGINT) AS n_cells, true AS explicit FROM n""")
+@_query(f"""WITH {_NUMBERED} SELECT l_orderkey AS page_id, 1 AS table_no, k AS row_no, CAST(1 + l_linenumber % 3 AS BIGINT) AS n_cells, l_returnflag <> 'N' AS explicit FROM n""")
 def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.table_rows(_made_tables(spark, sf_dir))
+    row = F.concat(F.lit("<tr>"), F.expr("repeat('<td>x', cast(1 + l_linenumber % 3 as int))"), F.when(F.col("l_returnflag") == "N", "").otherwise("</tr>"))
+    return tokens.table_rows(_by_order(spark, sf_dir, row, F.lit("<table>"), "</table>"))
+
+
+@_query(f"""WITH {_NUMBERED}, i AS (SELECT *, CAST(sum(CASE l_returnflag WHEN 'A' THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY k) AS INTEGER) AS inner_no FROM n),
+c AS (SELECT l_orderkey AS page_id, 1 AS table_no, k AS row_no, 1 AS col_no, CASE l_returnflag WHEN 'A' THEN 'beforeafter' ELSE l_returnflag END AS text FROM i
+UNION ALL SELECT l_orderkey, 1 + inner_no, 1, 1, CAST(l_linenumber AS VARCHAR) FROM i WHERE l_returnflag = 'A' UNION ALL SELECT l_orderkey, 1 + inner_no, 1, 2, '' FROM i WHERE l_returnflag = 'A')
+SELECT *, CAST(length(text) AS INTEGER) AS width FROM c""")
+def nested_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables in cells; text after the inner table belongs to the outer cell."""
+    inner = F.concat(F.lit("before<table><tr><td>"), F.col("l_linenumber"), F.lit("<th></table>after"))
+    row = F.concat(F.lit("<tr><td>"), F.when(F.col("l_returnflag") == "A", inner).otherwise(F.col("l_returnflag")))
+    return tokens.table_cells(_by_order(spark, sf_dir, row, F.lit("<table>"), "</table>"))
+
+
+def _by_part(spark: SparkSession, sf_dir: str, html: Column) -> DataFrame:
+    return _read(spark, sf_dir, "part").select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+
+
+@_query("""SELECT p_partkey AS page_id, s.span_no, s.kind, s.depth, CASE s.span_no WHEN 1 THEN p_brand || 'tail' WHEN 2 THEN p_type WHEN 3 THEN CAST(p_size AS VARCHAR) ELSE 'open' END AS text
+FROM part, (VALUES (1, 'strong', 1), (2, 'emphasis', 2), (3, 'struck', 1), (4, 'emphasis', 1)) s(span_no, kind, depth)""")
+def inline_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = F.concat(F.lit("</i>x<b>"), F.col("p_brand"), F.lit("<EM class=y>"), F.col("p_type"), F.lit("</em>tail</b>y<strike>"), F.col("p_size"), F.lit("</strike><u>open"))
+    return tokens.spans(_by_part(spark, sf_dir, html))
+
+
+@_query("""SELECT p_partkey AS page_id, 1 AS list_no, s.item_no, s.kind, CASE s.item_no WHEN 1 THEN p_brand WHEN 2 THEN p_type || 'b' ELSE CAST(p_size AS VARCHAR) END AS text
+FROM part, (VALUES (1, 'term'), (2, 'definition'), (3, 'definition')) s(item_no, kind) WHERE s.item_no < 3 OR p_size % 2 = 0""")
+def definition_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<dd>"), F.col("p_size"))).otherwise("")
+    html = F.concat(F.lit("<dt>no</dt><dl>out<dt> "), F.col("p_brand"), F.lit("</dt>out<dd>"), F.col("p_type"), F.lit("<b>b</b>"), more, F.lit("</dl>after"))
+    return tokens.definitions(_by_part(spark, sf_dir, html))
+
+
+@_query("SELECT p_partkey AS page_id, b.block_no, CASE b.block_no WHEN 1 THEN p_brand || chr(10) || '  ' || p_type ELSE p_type || chr(10) END AS text FROM part, (VALUES (1), (2)) b(block_no) WHERE b.block_no = 1 OR p_size % 2 = 0")
+def code_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    more = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("<pre>"), F.col("p_type"), F.lit("\n"))).otherwise("")
+    return tokens.code_blocks(_by_part(spark, sf_dir, F.concat(F.lit("x<pre>"), F.col("p_brand"), F.lit("\n  <code>"), F.col("p_type"), F.lit("</code></pre>y"), more)))
+
+
+@_query("""SELECT p_partkey AS page_id, pos, pos % 4 = 2 AS inside FROM part, (SELECT unnest(range(0, 9, 2)) AS pos) WHERE pos <= 2 * (p_size % 5)""")
+def quotation_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Any tag of q or code switches, an end tag like a start tag."""
+    html = F.concat(F.lit("t"), F.expr("substr('<q>t</code>t<code>t</q>t', 1, array(0, 4, 12, 19, 24)[p_size % 5])"))
+    return tokens.toggled(_by_part(spark, sf_dir, html), "q", "code").select("page_id", F.col("pos").cast("long").alias("pos"), "inside")
 
 
 @_query(f"WITH {_TOKENS}, {_LINKS} SELECT page_id, pos, href, NOT (starts_with(href, '#') OR starts_with(href, 'mailto:')) AS shown FROM l WHERE href IS NOT NULL")
@@ -234,7 +343,7 @@ def link_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.shown_links(_read(spark, sf_dir, "pages"), ignore_mailto=True)
 
 
-@_query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM l),
+@_query("""WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM l),
 f AS (SELECT doc_id, pos, sum(CASE WHEN starts_with(ltrim(line), 'Th') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM k)
 SELECT doc_id, CAST(pos AS INTEGER) AS pos, n % 2 = 1 AS fenced FROM f""")
 def fence_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,8 +351,9 @@ def fence_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""WITH l AS (SELECT doc_id, string_split(replace(text, '. ', chr(10) || chr(10) || chr(10)), chr(10)) AS ls FROM documents),
-k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l), b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k)
-SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM b WHERE line <> '' OR before IS NULL OR before <> '' GROUP BY doc_id""")
+k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM l), b AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM k),
+z AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM b WHERE line <> '' OR before IS NULL OR before <> '' GROUP BY doc_id)
+SELECT doc_id, z.text FROM documents LEFT JOIN z USING (doc_id)""")
 def blank_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit("\n\n\n")).alias("text"))
     return tokens.few_blank_lines(docs)
@@ -308,7 +418,7 @@ def strip_marks_nbsp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "documents").select("doc_id", C.plain_spaces(C.strip_direction_marks(marked)).alias("plain"))
 
 
-_LINES = "l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM l), b AS (SELECT *, regexp_replace(line, '^[\\x00\\t\\n\\x0b\\r ]+', '') AS bare FROM k)"
+_LINES = "l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents), k AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS pos FROM l), b AS (SELECT *, regexp_replace(line, '^[\\x00\\t\\n\\x0b\\r ]+', '') AS bare FROM k)"
 
 
 @_query(rf"""WITH {_LINES} SELECT doc_id, CAST(pos AS INTEGER) AS pos,
@@ -316,10 +426,32 @@ CASE WHEN starts_with(line, '    ') OR starts_with(line, chr(9)) THEN true WHEN
      WHEN starts_with(bare, '-') OR (starts_with(bare, '*') AND NOT starts_with(bare, '**')) THEN true
      WHEN contains(line, ' | ') THEN true ELSE regexp_matches(bare, '^([0-9]+\.[\t-\r ]|[-*+][\t-\r ])') END AS keeps FROM b""")
 def skipwrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    lines = tokens.lines(_read(spark, sf_dir, "documents"))
     return lines.select("doc_id", "pos", C.keeps_line("line").alias("keeps"))
 
 
+_MARKED = "CASE pos % 9 WHEN 0 THEN '- ' WHEN 1 THEN ' | ' WHEN 2 THEN '[a](b) ' WHEN 3 THEN '12. ' WHEN 4 THEN '**' WHEN 5 THEN '-- ' WHEN 6 THEN '--- ' WHEN 7 THEN '    ' ELSE '' END || line"
+
+
+@_query(rf"""WITH {_LINES}, m AS (SELECT doc_id, pos, {_MARKED} AS line FROM k), y AS (SELECT *, regexp_replace(line, '^[\x00\t\n\x0b\r ]+', '') AS bare FROM m)
+SELECT doc_id, CAST(pos AS INTEGER) AS pos,
+CASE WHEN regexp_matches(line, '\[.*?\] ?\(.*?\)|\[.*?\]:') THEN true WHEN starts_with(line, '    ') OR starts_with(line, chr(9)) THEN true WHEN regexp_matches(bare, '(?s)^--[^-]') THEN false
+     WHEN starts_with(bare, '-') OR (starts_with(bare, '*') AND NOT starts_with(bare, '**')) THEN false
+     ELSE regexp_matches(bare, '^([0-9]+\.[\t-\r ]|[-*+][\t-\r ])') END AS keeps FROM y""")
+def skipwrap_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other value of each of the three flags."""
+    k = F.col("pos") % 9
+    mark = F.when(k == 0, "- ").when(k == 1, " | ").when(k == 2, "[a](b) ").when(k == 3, "12. ").when(k == 4, "**").when(k == 5, "-- ").when(k == 6, "--- ").when(k == 7, "    ").otherwise("")
+    lines = tokens.lines(_read(spark, sf_dir, "documents")).withColumn("line", F.concat(mark, "line"))
+    return lines.select("doc_id", "pos", C.keeps_line("line", wrap_links=False, wrap_list_items=True, wrap_tables=True).alias("keeps"))
+
+
+# Letters and digits are doubled, so that one can be the end of a match and the start of the next.
+@_query(r"""SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(coalesce(text, ''), '([\pL\pN])', '\1\1', 'g'), '[\pL\pN]-[\pL\pN]')) AS INTEGER) AS n FROM documents""")
+def hyphen_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "documents").select("doc_id", C.hyphen_breaks(F.coalesce("text", F.lit(""))).alias("n"))
+
+
 @_query("SELECT c_custkey, regexp_matches(u, '^[a-zA-Z+]+://') AS absolute FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'http://' WHEN 1 THEN '/' ELSE 'a1://' END || c_name AS u FROM customer)")
 def absolute_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.concat(F.when(F.col("c_custkey") % 3 == 0, "http://").when(F.col("c_custkey") % 3 == 1, "/").otherwise("a1://"), F.col("c_name"))
@@ -376,11 +508,15 @@ def style_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return styled.select("p_partkey", C.list_kind(s).alias("kind"), C.has_height(s).alias("tall"), C.fixed_width(s).alias("fixed"), C.nesting(s).alias("nesting"), F.array_join(C.emphasis_of(s), ",").alias("emphasis"), C.list_start(start).alias("starts"))
 
 
-@_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'red' ELSE 'blue' END AS color, CAST(p_size AS VARCHAR) || 'px' AS width, 'x' AS top FROM part""")
+@_query("""WITH rules(class, property, value) AS (VALUES ('c0', 'color', 'red'), ('c1', 'color', 'green'), ('c1', 'top', 'y'), ('p, a', 'z', '1')),
+k AS (SELECT p_partkey, p_size, string_split(CASE WHEN p_partkey % 2 = 0 THEN 'c0 none' WHEN p_partkey % 3 = 0 THEN 'c0 c1' ELSE 'c9' END, ' ') AS cs FROM part),
+e AS (SELECT p_partkey, unnest(cs) AS class, generate_subscripts(cs, 1) AS i FROM k),
+v AS (SELECT p_partkey, property, value, i FROM e JOIN rules USING (class) UNION ALL SELECT p_partkey, 'width', p_size || 'px', 100 FROM k UNION ALL SELECT p_partkey, 'top', 'x', 0 FROM k UNION ALL SELECT p_partkey, 'color', 'blue', 0 FROM k)
+SELECT p_partkey, arg_max(value, i) FILTER (WHERE property = 'color') AS color, arg_max(value, i) FILTER (WHERE property = 'width') AS width, arg_max(value, i) FILTER (WHERE property = 'top') AS top FROM v GROUP BY p_partkey""")
 def element_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = C.rules(F.lit("@import url(a.css); .c0 {color: RED} .c1 {color: green; top: y} p, a {z: 1}"))
     parent = F.create_map(F.lit("top"), F.lit("x"), F.lit("color"), F.lit("blue"))
-    made = C.element_style(parent, F.when(F.col("p_partkey") % 2 == 0, " c0  none").otherwise("c9"), known, F.concat(F.lit("width:"), F.col("p_size"), F.lit("PX")))
+    made = C.element_style(parent, F.when(F.col("p_partkey") % 2 == 0, " c0  none").when(F.col("p_partkey") % 3 == 0, "c0 c1").otherwise("c9"), known, F.concat(F.lit("width:"), F.col("p_size"), F.lit("PX")))
     styled = _read(spark, sf_dir, "part").withColumn("s", made)
     return styled.select("p_partkey", *(F.try_element_at("s", F.lit(k)).alias(k) for k in ("color", "width", "top")))
 
@@ -394,6 +530,18 @@ def pad_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("l_orderkey", F.array_join(C.align_table(F.transform("ls", lambda x: x["line"])), "\n").alias("aligned"))
 
 
+@_query(f"""WITH {_NUMBERED}, w AS (SELECT *, max(length(CAST(l_partkey AS VARCHAR)) + 1) OVER (PARTITION BY l_orderkey) AS w1, max(length(l_returnflag) + 2) OVER (PARTITION BY l_orderkey) AS w2 FROM n),
+r AS (SELECT l_orderkey, k, '| ' || rpad(CAST(l_partkey AS VARCHAR), CAST(w1 AS INTEGER), ' ') || '|' || rpad(' ' || l_returnflag, CAST(w2 AS INTEGER), ' ') || '|' AS line FROM w),
+a AS (SELECT l_orderkey, string_agg(line, chr(10) ORDER BY k) AS aligned FROM r GROUP BY l_orderkey)
+SELECT l_orderkey, 'head | x' || chr(10) || aligned || CASE l_orderkey % 2 WHEN 0 THEN chr(10) || chr(10) || 'tail' ELSE '' END AS aligned FROM a""")
+def align_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables between marks within a text; those of odd orders are not closed."""
+    line = F.concat(F.col("l_partkey").cast("string"), F.lit("| "), F.col("l_returnflag"))
+    made = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("line")))).alias("ls"))
+    text = F.concat(F.lit(f"head | x\n{X.TABLE_MARK}\n"), F.array_join(F.transform("ls", lambda x: x["line"]), "\n"), F.when(F.col("l_orderkey") % 2 == 0, f"\n{X.TABLE_MARK}\ntail").otherwise(""))
+    return made.select("l_orderkey", convert.align_tables(text).alias("aligned"))
+
+
 @_query(r"SELECT tag, count(*) AS n, CASE WHEN regexp_matches(tag, '^h[1-9]$') THEN CAST(substr(tag, 2, 1) AS INTEGER) ELSE 0 END AS level FROM (SELECT 'h' || (o_orderkey % 13) AS tag FROM orders) GROUP BY tag")
 def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = _read(spark, sf_dir, "orders").select(F.concat(F.lit("h"), F.col("o_orderkey") % 13).alias("tag"))
@@ -403,6 +551,53 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- the conversion itself
 
 
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@_query("SELECT * FROM (VALUES " + ", ".join(f"({_literal(name)}, {_literal(want)})" for name, _, _, want in golden.CASES) + ") v(name, markdown)")
+def golden_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversion of a table of cases, each with options of its own."""
+    rows = [(name, html, golden.named(options)) for name, html, options, _ in golden.CASES]
+    cases = spark.createDataFrame(rows, "name string, html string, options map<string,string>")
+    ends = F.regexp_replace(F.regexp_replace(convert.to_markdown_with("html", "options"), r"\A\n+", ""), r"[ \t\n\x0b\f\r]+\z", "")
+    return cases.select("name", ends.alias("markdown"))
+
+
+@_query(r"""SELECT p_partkey AS page_id, '# ' || p_brand || chr(10) || chr(10) || 'Type _' || p_type || '_ of **size ' || p_size || '**.' || chr(10) || chr(10)
+|| '  * [' || p_partkey || '](http://h.example/p/' || p_partkey || ')' || chr(10) || '    ' || (CASE WHEN p_size % 2 = 0 THEN '1. even' ELSE '1. odd' END) || chr(10) || '    2. `' || p_brand || '`' || chr(10) || '  * last' || repeat(chr(10), 4)
+|| '> quoted' || chr(10) || chr(10) || 'k| v  ' || chr(10) || '---|---  ' || chr(10) || 'size| ' || p_size || '  ' || chr(10) || '      ' || chr(10) || '    ' || chr(10) || '    code' || chr(10) || '      ' || p_size || chr(10) || chr(10) || 'end  ' || chr(10) || 'x' AS markdown FROM part""")
+def markdown_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages made of columns, converted without wrapping."""
+    html = F.concat(
+        F.lit("<html><head><title>no</title><style>p{}</style></head><body><h1>"), F.col("p_brand"), F.lit("</h1>\n<p>Type <em>"), F.col("p_type"), F.lit("</em>  of\n<b>size "), F.col("p_size"), F.lit("</b>.</p>"),
+        F.lit("<ul><li><a href='/p/"), F.col("p_partkey"), F.lit("'>"), F.col("p_partkey"), F.lit("</a><ol><li>"), F.when(F.col("p_size") % 2 == 0, "even").otherwise("odd"), F.lit("<li><code>"), F.col("p_brand"), F.lit("</code></ol><li>last</ul>"),
+        F.lit("<blockquote>quoted</blockquote><table><tr><th>k<th>v</tr><tr><td>size<td>"), F.col("p_size"), F.lit("</tr></table><pre>code\n  "), F.col("p_size"), F.lit("</pre><script>no</script><p>end<br>x"),
+    )
+    made = _by_part(spark, sf_dir, html)
+    text = convert.to_markdown("html", Options(body_width=0, base_url="http://h.example/d/"))
+    return convert.spread(made).select("page_id", F.regexp_replace(text, r"\A\n+|\n+\z", "").alias("markdown"))
+
+
+# A line takes words while they fit; the words are short, and have neither hyphens nor marks.
+@_query("""WITH RECURSIVE t AS (SELECT c_custkey, string_split(replace(c_name, '#', ' ') || ' ' || c_mktsegment || ' ' || CAST(c_nationkey AS VARCHAR) || ' ' || lower(c_mktsegment) || ' ' || CAST(c_custkey AS VARCHAR) || ' é ' || c_mktsegment, ' ') AS ws FROM customer),
+w AS (SELECT c_custkey, ws, 1 AS i, ws[1] AS wrapped, length(ws[1]) AS used FROM t
+UNION ALL SELECT c_custkey, ws, i + 1, wrapped || CASE WHEN used + 1 + length(ws[i + 1]) <= 16 THEN ' ' ELSE chr(10) END || ws[i + 1], CASE WHEN used + 1 + length(ws[i + 1]) <= 16 THEN used + 1 + length(ws[i + 1]) ELSE length(ws[i + 1]) END FROM w WHERE i < len(ws))
+SELECT c_custkey, wrapped FROM w WHERE i = len(ws)""")
+def wordwrap_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.concat_ws(" ", F.replace("c_name", F.lit("#"), F.lit(" ")), "c_mktsegment", F.col("c_nationkey").cast("string"), F.lower("c_mktsegment"), F.col("c_custkey").cast("string"), F.lit("é"), "c_mktsegment")
+    return _read(spark, sf_dir, "customer").select("c_custkey", convert.wrap(text, 16).alias("wrapped"))
+
+
+@_query("SELECT page_id, url, coalesce(html, '') AS html FROM pages")
+def pages_written_and_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as JSON, read as a source, written by the sink with their Markdown, and read back."""
+    folder = f"{_shared(spark)}/pages-{uuid.uuid4().hex}"
+    _read(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).write.json(f"{folder}/in")
+    sources.write_markdown(convert.convert(sources.read_pages(spark, f"{folder}/in", "json")), f"{folder}/out")
+    return spark.read.parquet(f"{folder}/out").where("markdown is not null").select("page_id", "url", "html")
+
+
 @_query()
 def to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return convert.convert(_read(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", "markdown")
@@ -429,11 +624,7 @@ def wordwrap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def stream_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Convert the pages as a stream of what is there, and read back what was written."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        import tempfile
-
-        folder = f"file://{tempfile.mkdtemp(prefix='stream')}"
+    folder = _shared(spark)
     path = f"{folder}/stream-{uuid.uuid4().hex}"
     schema = _read(spark, sf_dir, "pages").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/pages.parquet" if not _is_file(spark, f"{sf_dir}/pages.parquet") else sf_dir + "/page[s].parquet")

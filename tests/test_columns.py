@@ -92,12 +92,57 @@ def test_views(spark, pages):
     assert {(r.href, r.title, r.resolved) for r in tokens.links(pages).collect()} == {("/x", "T", "http://h/x"), ("/y", None, "http://h/y")}
     assert {(r.href, r.n, r.ref_no) for r in tokens.reference_numbers(pages).collect()} == {("/x", 2, 1), ("/y", 1, 2)}
     assert [(r.level, r.text) for r in tokens.headings(pages).collect()] == [(1, "Ab")]
-    assert {(r.li_idx, r.list_no, r.number, r.level) for r in tokens.list_items(pages).collect()} == {(1, 1, 1, 1), (2, 2, 1, 2), (3, 2, 1, 1)}
+    assert {(r.li_idx, r.list_no, r.list_kind, r.number, r.level) for r in tokens.list_items(pages).collect()} == {(1, 1, "ol", 1, 1), (2, 2, "ul", 1, 2), (3, 1, "ol", 2, 1)}
     assert {(r.table_no, r.row_no, r.col_no, r.text) for r in tokens.table_cells(pages).collect()} == {(1, 1, 1, "c1"), (1, 1, 2, "c2"), (1, 2, 1, "c3")}
     assert [(r.src, r.alt) for r in tokens.images(pages).collect()] == [("i.png", "")]
     assert [tuple(r)[1:] for r in tokens.styles(pages).collect()] == [("p", "color", "red")]
     assert {r.tag: r.n for r in tokens.tag_histogram(pages).collect()}["a"] == 4
-    assert [r.text for r in tokens.visible_text(pages).collect()] == ["Ablnmagain123c1c2c3"]
+    assert {(r.page_id, r.text) for r in tokens.visible_text(pages).collect()} == {(1, "Ablnmagain123c1c2c3"), (2, ""), (3, "")}
+
+
+def made(spark, html):
+    return spark.createDataFrame([(1, None, html)], "page_id long, url string, html string")
+
+
+def test_views_of_nested_elements(spark):
+    lists = made(spark, "</ul><li>o<ol start=3><li>a<ul><li>b<ol start='x'><li>c</ol><li>d</ul><li>e</ol></ol><ul><li>f")
+    got = {(r.li_idx, r.list_no, r.list_kind, r.number, r.level) for r in tokens.list_items(lists).collect()}
+    assert got == {(1, 0, "ul", 1, 0), (2, 1, "ol", 3, 1), (3, 2, "ul", 1, 2), (4, 3, "ol", 1, 3), (5, 2, "ul", 2, 2), (6, 1, "ol", 4, 1), (7, 4, "ul", 1, 1)}
+    tables = made(spark, "<tr><table><tr><td>a<table><tr><th>x<th>y</tr></table>b<td>c</tr><tr><td>d</table></table><table><tr><td>e</table>")
+    assert {(r.table_no, r.row_no, r.col_no, r.text) for r in tokens.table_cells(tables).collect()} == {(1, 1, 1, "ab"), (1, 1, 2, "c"), (1, 2, 1, "d"), (2, 1, 1, "x"), (2, 1, 2, "y"), (3, 1, 1, "e")}
+    assert {(r.table_no, r.row_no, r.n_cells, r.explicit) for r in tokens.table_rows(tables).collect()} == {(1, 1, 2, True), (1, 2, 1, False), (2, 1, 2, True), (3, 1, 1, False)}
+    links = made(spark, "</a><a href=/x>1<a href=/y>2</a></a><a href=/z><a>n</a><a href=/w>")
+    assert {(r.href, r.ref_no) for r in tokens.reference_numbers(links).collect()} == {("/y", 1), ("/x", 2), ("/w", 3), ("/z", 4)}
+    quiet = made(spark, "</head>a<head>h<body>b</head>c<head>i</body>d")
+    assert [r.text for r in tokens.visible_text(quiet).collect()] == ["abcd"]
+
+
+def test_views_of_spans_definitions_and_code(spark):
+    page = made(spark, "x<b>1<i>2</i>3</b><s>4</s></u>y<em>5<dl><dt>t <b>u</b><dd>d</dd>out<dt></dl><pre>p<code>q</code>\n</pre><pre>r")
+    assert {(r.span_no, r.kind, r.depth, r.text) for r in tokens.spans(page).collect()} == {(1, "strong", 1, "13"), (2, "emphasis", 2, "2"), (3, "struck", 1, "4"), (4, "emphasis", 1, "5t doutpq\nr"), (5, "strong", 2, "u")}
+    assert {(r.list_no, r.item_no, r.kind, r.text) for r in tokens.definitions(page).collect()} == {(1, 1, "term", "t u"), (1, 2, "definition", "d"), (1, 3, "term", "")}
+    assert {(r.block_no, r.text) for r in tokens.code_blocks(page).collect()} == {(1, "pq\n"), (2, "r")}
+
+
+def test_lines_of_texts(spark):
+    texts = ["a\n\nb", "c", None, "", "\n", "\n\n\n", "\n\na\n\n\n\nb\n\n\n", "a\n \n\nb\n"]
+
+    def brute(t):
+        ls = t.split("\n")
+        return "\n".join(x for i, x in enumerate(ls) if x or i == 0 or ls[i - 1])
+
+    df = spark.createDataFrame([(1, t) for t in texts], "doc_id long, text string")  # one key for all
+    got = sorted((r.text for r in tokens.few_blank_lines(df).collect()), key=str)
+    assert got == sorted((None if t is None else brute(t) for t in texts), key=str)
+    fences = spark.createDataFrame([(1, "```\na\n ```\nb"), (1, "c"), (None, None)], "doc_id long, text string")
+    got = sorted(((r.doc_id or 0, r.pos, r.line, r.fenced) for r in tokens.fenced_lines(fences).collect()))
+    assert got == [(0, 0, "", False), (1, 0, "```", True), (1, 0, "c", False), (1, 1, "a", True), (1, 2, " ```", False), (1, 3, "b", False)]
+
+
+def test_wrap_with_breaks_and_cuts(spark):
+    assert column(spark, ["aaaa bb cccccc", None], convert.wrap("c", 4, "<br>")) == ["aaaa<br>bb<br>cccccc", None]
+    assert column(spark, ["aaaaaa bb cccccccccc"], convert.wrap("c", 4, cut=True)) == ["aaaa\naa\nbb\ncccc\ncccc\ncc"]
+    assert X.graphemes("\U0001f1e9\U0001f1eae\u0301\u1100\u1161") == ["\U0001f1e9\U0001f1ea", "\u00e9", "\uac00"]
 
 
 def test_conversion_of_columns(spark, pages):
