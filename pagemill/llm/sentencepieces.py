@@ -42,7 +42,7 @@ from pagemill.llm import tables, words
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 SEGMENTS, PAIRS = 200_000, 500_000
-BATCH = 1 << 18  # bytes of segments that are indexed at once
+BATCH = 1 << 17  # bytes of segments that are indexed at once
 _DEPTH = 16  # bytes that the suffix array sorts by; longer pieces are compared in full
 
 
@@ -300,7 +300,7 @@ class Encoder:
         return out
 
 
-def _groups(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def _groups(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, t in enumerate(texts):
         if i > start and size + len(t) > most:
