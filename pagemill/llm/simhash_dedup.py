@@ -1,8 +1,8 @@
 """Operator 10: near-duplicates by SimHash, linked through vantage-point trees.
 
 A fingerprint has a bit set where over half of the XXH64 values of a document's
-3-word shingles have it; it is computed in DataFrame functions.  Two fingerprints
-link if they differ in at most ``radius`` bits; a component is what links reach.
+3-word shingles have it.  Two fingerprints link if they differ in at most ``radius``
+bits; a component is what links reach.
 
 Search.  The 64 bits are cut into two halves; of a pair within the radius, one
 half differs by at most ``radius // 2`` bits.  Each half has a vantage-point tree
@@ -34,15 +34,16 @@ empty; repeated rows are one component; a null doc_id counts as the largest.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pagemill.llm import components, tables
-from pagemill.llm.fingerprints import votes
+from pagemill.llm import components, tables, words
 
 SHINGLE = 3
 SAMPLE = 1 << 16  # fingerprints that the first trees are fitted on, at most
@@ -55,29 +56,39 @@ _U = np.uint64
 HALVES = (_U(0x00000000FFFFFFFF), _U(0xFFFFFFFF00000000))
 WHOLE, TILE = 2, 3  # kinds of a leaf beside the two halves
 MASKS = (*HALVES, _U(0xFFFFFFFFFFFFFFFF))
-_SPACE = " \t\n\x0b\x0c\r"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def _shingles(text: Column, size: int) -> Column:
-    """array<struct>: the words of each shingle; one empty struct for a text without words."""
-    fields = ",".join(f"w{i}:string" for i in range(size))
-    kind = f"array<struct<{fields}>>"
-    words = F.split(text, r"[\x20\x09-\x0D]+")
-    n = F.size(words)
-    few = F.array(F.struct(F.array_join(words, " ").alias("w0"), *(F.lit(None).cast("string").alias(f"w{i}") for i in range(1, size)))).cast(kind)
-    runs = F.arrays_zip(*(F.slice(words, F.lit(i + 1), n - (size - 1)) for i in range(size))).cast(kind)
-    return F.when(n < size, few).otherwise(runs)
+_hash = partial(xxhash.xxh64_intdigest, seed=42)
+
+
+def fingerprint(text: bytes, size: int = SHINGLE) -> int:
+    """The 64-bit SimHash of one text."""
+    found = text.lower().split()  # of bytes: A-Z, and the six ASCII spaces
+    if not found:
+        return 0
+    if len(found) < size:
+        shingles = [b" ".join(found)]
+    else:
+        shingles = map(b" ".join, zip(*(found[i:] for i in range(size)), strict=False))
+    hashes = np.fromiter(map(_hash, shingles), "<u8")
+    votes = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), 1 << 14):
+        part = hashes[i : i + (1 << 14)]
+        votes += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    on = votes * 2 > len(hashes)
+    return int(np.packbits(on, bitorder="little").view("<u8")[0])
+
+
+def fingerprints(docs: DataFrame, keys: dict[str, Column] | None = None) -> DataFrame:
+    """(doc_id, keys, fp) of each row: fp is the fingerprint as a signed long; keys are further long columns."""
+    names = ["doc_id", *(keys or {})]
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in words.small(batches):
+            fps = np.fromiter((fingerprint(t.as_py()) for t in batch.column("text")), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(fps.view(np.int64))], [*names, "fp"])
 
-def fingerprints(docs: DataFrame, keys: dict[str, Column] | None = None, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, keys, fp) of each row: fp is the fingerprint as a signed long; keys are further long columns."""
-    names = ["row", "doc_id", *(keys or {})]
-    text = F.btrim(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER), F.lit(_SPACE))
-    rows = tables.named(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in (keys or {}).items()), text.alias("text"))
-    each = rows.select(*names, F.when(F.col("text") == "", 0).otherwise(1).cast("long").alias("w"), F.posexplode(_shingles(F.col("text"), size)).alias("pos", "s"))
-    shingle = F.concat_ws(" ", *(F.col(f"s.w{i}") for i in range(size)))
-    return votes(each.select(*names, "pos", "w", F.xxhash64(shingle).alias("h")), names).drop("row")
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    rows = tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), *(c.alias(k) for k, c in (keys or {}).items()), text.alias("text"))
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "fp"]))
 
 
 class Tree:
@@ -313,7 +324,7 @@ def first_rows(docs: DataFrame, radius: int = 3) -> DataFrame:
     fps = fingerprints(rows, keys).checkpoint()
     of = _labelled(fps, F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *keys)), radius)
     kept = of.groupBy("label").agg(F.min("least").alias("least")).select(*(F.col(f"least.{k}").alias(k) for k in keys))
-    rest = F.xxhash64(F.lit(0), *(F.col(c) for c in tables.others(rows)))
+    rest = F.xxhash64(F.lit(0), *(F.col(c) for c in tables.others(rows) if "map" not in rows.schema[c].dataType.simpleString()))  # maps have no hash
     marked = rows.select("*", rest.alias("rest"), *(c.alias(k) for k, c in keys.items())).join(kept, list(keys), "left_semi")
     one = marked.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("rest"))).where("copy = 1")
     return one.select(rows.columns).toDF(*docs.columns)
