@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from pagemill.llm import bloom, components, fingerprints, line_dedup, simhash_dedup, suffix_dedup
+from pagemill.llm import bloom, components, fingerprints, line_dedup, rank_pairs, simhash_dedup, suffix_dedup
 from tests.llm.common import corpus, documents
 
 LAST = 1 << 63
@@ -274,3 +274,12 @@ def test_empty_tables(spark):
     assert line_dedup.dedup_lines(none).count() == 0
     assert simhash_dedup.near_duplicates(none).count() == 0
     assert fingerprints.compare(none).count() == 0
+
+
+def test_rank_pairs(spark):
+    rows = corpus()
+    got = rank_pairs.dedup_by_ranks(documents(spark, rows)).collect()
+    assert Counter(tuple(r) for r in got) == brute_removed(rows)
+    short = [(3, "abcdefgh12"), (1, "xabcdefgh1"), (2, None), (None, "abcdefgh12"), (3, "abcdefgh12")]
+    assert Counter(tuple(r) for r in rank_pairs.dedup_by_ranks(documents(spark, short), 9).collect()) == brute_removed(short, 9)
+    assert rank_pairs.dedup_by_ranks(documents(spark, [])).count() == 0
