@@ -31,7 +31,7 @@ SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 
 def _numbered(keys: DataFrame, names: list[str]) -> DataFrame:
-    """Distinct keys with their place in the sorted order of all (``rank``): sorted by ranges, numbered range by range."""
+    """Distinct keys with their place in the sorted order of all (``number``): sorted by ranges, numbered range by range."""
     spread = keys.repartitionByRange(*names).sortWithinPartitions(*names).select("*", F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("id")).checkpoint()
     sizes = sorted(spread.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect())  # a row a partition
     before, total = [], 0
@@ -39,13 +39,13 @@ def _numbered(keys: DataFrame, names: list[str]) -> DataFrame:
         before.append((part, total))
         total += n
     starts = keys.sparkSession.createDataFrame(before, "part int, before long")
-    return spread.join(F.broadcast(starts), "part").select(*names, (F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("rank"))
+    return spread.join(F.broadcast(starts), "part").select(*names, (F.col("before") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))).alias("number"))
 
 
 def _reranked(rows: DataFrame, names: list[str]) -> DataFrame:
     """row, id, pos, rank: the rank of each row's key among all keys; rows whose key one document alone has leave."""
     groups = rows.groupBy(*names).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select(*names)
-    return rows.join(_numbered(groups, names), names).select("row", "id", "pos", "rank").checkpoint()
+    return rows.join(_numbered(groups, names), names).select("row", "id", "pos", F.col("number").alias("rank")).checkpoint()
 
 
 def dedup_by_ranks(docs: DataFrame, length: int = 50) -> DataFrame:
