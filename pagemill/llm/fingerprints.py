@@ -164,3 +164,11 @@ def compare(docs: DataFrame, radius: int = 3, every: int = QUERIES) -> DataFrame
     like = lambda a, b: 1 - F.bit_count(F.col(a).bitwiseXOR(F.col(b))) / 64.0
     whole = known.join(after, (known.next_tie == after.next_tie) & known.next_id.eqNullSafe(after.after_id)).join(near, "fp", "left")
     return whole.select("doc_id", "n_chars", "edited_sha256", digits("fp").alias("fingerprint"), digits("efp").alias("edited_fingerprint"), like("fp", "efp").cast("double").alias("near_edited"), like("fp", "nfp").cast("double").alias("near_next"), F.when(F.col("doc_id") % every == 0, F.col("near_docs")).alias("near_docs"))
+
+
+# What of the edited texts needs no fingerprint; doc_ids are unique.
+EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), n AS (SELECT *, lead(t) OVER (ORDER BY doc_id DESC) AS after FROM d),
+z AS (SELECT doc_id, t, coalesce(after, (SELECT arg_max(t, doc_id) FROM d)) AS after FROM n)
+SELECT doc_id, CAST(length(t) AS BIGINT) AS n_chars, sha256(substr(t, 1, length(t) - length(t) // 2) || substr(after, 1, length(t) // 2)) AS edited_sha256 FROM z
+"""

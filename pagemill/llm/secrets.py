@@ -250,3 +250,28 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def _cased(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+# Leftmost matches and, between them, single characters make up a text; their lengths give the places.
+_SQL_ASSIGN = rf"""({"|".join(_cased(w) for w in ("password", "passwd", "secret", "token"))}|{_cased("api")}_?{_cased("key")})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+
+def _sql_kind(number: int, kind: str, pattern: str, keep: str) -> str:
+    return f"""SELECT doc_id, {number} AS k, '{kind}' AS kind, z - length(p) AS a, z, p FROM (
+  SELECT doc_id, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS z FROM (
+    SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+      SELECT doc_id, regexp_extract_all(t, '{pattern}|(?s:.)') AS ps FROM d WHERE regexp_matches(t, '{pattern}')))) WHERE {keep}"""
+
+
+BASE_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+s AS ({_sql_kind(0, "assign", _SQL_ASSIGN, f"length(regexp_extract(p, '{_SQL_ASSIGN}', 2)) >= {ASSIGN_LEAST}")}
+UNION ALL {_sql_kind(1, "access", "AKIA[A-Z0-9]+", f"starts_with(p, 'AKIA') AND length(p) >= {ACCESS_LEAST}")}
+UNION ALL {_sql_kind(2, "hex", "[0-9a-f]+", "regexp_matches(p, '^[0-9a-f]{16,}$')")}),
+g AS (SELECT doc_id, count(*) FILTER (WHERE k = 0) AS n0, count(*) FILTER (WHERE k = 1) AS n1, count(*) FILTER (WHERE k = 2) AS n2, string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, k) AS l FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(l, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
