@@ -18,7 +18,8 @@ in the first table it meets in.
 the last floor(n/2) code points replaced by the first as many of the next
 document's.  Documents are dealt by ranges of doc_id (``RANGE`` ids), ordered
 within them, and the ends of the ranges are linked through the ranges' own order,
-level by level, so no task ever sees more than a range.
+level by level, so no task ever sees more than a range.  Ranges that null or repeated
+ids make long are cut into parts, down to rows of one id and one hash.
 
 Edges: a null text is empty; texts without terms have fingerprint zero; a null
 doc_id counts as the largest; rows that tie in doc_id are ordered by a hash of
@@ -37,6 +38,8 @@ from pagemill.llm import components, tables
 
 SHORT, HEAVY, CHUNK = 3, 12, 2048
 RANGE = 256
+HOT = 16 * RANGE  # rows of a range, beyond which it is cut into parts
+SENT = 100_000  # such ranges that are sent to all tasks, at most; 9 bytes each
 QUERIES = 20  # every row whose doc_id is divisible by it asks for its neighbours
 _SPREAD, _LANES = 0x200040008001, 0x0001000100010001
 _PAIR = 0x0000FFFF0000FFFF
@@ -92,26 +95,45 @@ def _below(groups: DataFrame) -> DataFrame:
     return within.join(order, "up", "left").select("g", F.coalesce("lead", "head").alias("next"))
 
 
+def _parted(rows: DataFrame) -> DataFrame:
+    """Rows with their range ``g`` and, in ranges of more than ``HOT`` rows, a part of it (``sub``, 0 elsewhere).
+
+    Parts go by doc_id and then by the hash of the text, in the order of the rows, so
+    that null or repeated ids do not make one long range.
+    """
+    hot = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("g", F.lit(True).alias("hot")).checkpoint()
+    few = hot.count()
+    if not few:
+        return rows.withColumn("sub", F.lit(0))
+    of_id = _long(RANGE - 1) - F.col("doc_id").bitwiseAND(_long(RANGE - 1))
+    place = F.coalesce(of_id, _long(-1)) * 64 + F.shiftright("tie", 58) + 32  # null ids come before the largest
+    marked = rows.join(F.broadcast(hot) if few <= SENT else hot.hint("merge"), "g", "left")
+    return marked.withColumn("sub", F.when(F.col("hot"), place).otherwise(_long(0)).cast("int")).drop("hot")
+
+
 def edited(docs: DataFrame) -> DataFrame:
-    """Each row with its place (g, rn), its text, the next row's key and its edited text."""
+    """Each row with its place (g, sub, rn), its text, the next row's key and its edited text."""
     rows = tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text")).withColumn("g", F.shiftright(F.coalesce("doc_id", _long((1 << 63) - 1)), RANGE.bit_length() - 1))
-    order = W.partitionBy("g").orderBy(F.desc_nulls_first("doc_id"), "tie")
+    rows = _parted(rows)
+    order = W.partitionBy("g", "sub").orderBy(F.desc_nulls_first("doc_id"), "tie")
     # What follows reads this twice with the same columns, so that its exchange is made once.
     lead = [F.lead(c).over(order).alias(f"then_{c}") for c in ("text", "doc_id", "tie")]
-    placed = rows.select("g", F.row_number().over(order).alias("rn"), "doc_id", "tie", "text", *lead, F.lead(F.lit(1)).over(order).isNull().alias("ends"), F.lag(F.lit(1)).over(order).isNull().alias("opens"))
-    groups = rows.select("g").distinct().checkpoint()
-    below = _below(groups)
+    placed = rows.select("g", "sub", F.row_number().over(order).alias("rn"), "doc_id", "tie", "text", *lead, F.lead(F.lit(1)).over(order).isNull().alias("ends"), F.lag(F.lit(1)).over(order).isNull().alias("opens"))
+    parts = rows.select("g", "sub").distinct().checkpoint()
+    groups = parts.groupBy("g").agg(F.min("sub").alias("first")).checkpoint()
     ends = groups.agg(F.min("g").alias("low"), F.max("g").alias("high")).first()
-    below = below.select("g", F.coalesce("next", F.lit(ends.high)).alias("next"))  # after the last, the first
-    heads = placed.where("opens").select(F.col("g").alias("next"), *(F.col(c).alias(f"head_{c}") for c in ("text", "doc_id", "tie")))
-    after = below.join(heads, "next").drop("next")
-    both = placed.join(after, "g")
+    below = _below(groups.select("g")).select("g", F.coalesce("next", F.lit(ends.high)).alias("next"))  # after the last, the first
+    below = below.join(groups.select(F.col("g").alias("next"), "first"), "next")
+    within = parts.select("g", "sub", F.lead("sub").over(W.partitionBy("g").orderBy("sub")).alias("lead"))  # 64 * (RANGE + 1) parts at most
+    after = within.join(below, "g").select("g", "sub", F.when(F.col("lead").isNull(), F.col("next")).otherwise(F.col("g")).alias("next"), F.coalesce("lead", "first").alias("next_sub"))
+    heads = placed.where("opens").select(F.col("g").alias("next"), F.col("sub").alias("next_sub"), *(F.col(c).alias(f"head_{c}") for c in ("text", "doc_id", "tie")))
+    both = placed.join(after.join(heads, ["next", "next_sub"]).drop("next", "next_sub"), ["g", "sub"])
     then = {c: F.when(F.col("ends"), F.col(f"head_{c}")).otherwise(F.col(f"then_{c}")) for c in ("text", "doc_id", "tie")}
     n = F.length("text")
     half = F.shiftright(n, 1)
     made = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(then["text"], F.lit(1), half))
-    return both.select("g", "rn", "doc_id", "tie", then["doc_id"].alias("next_id"), then["tie"].alias("next_tie"), "text", made.alias("edited"))
+    return both.select("g", "sub", "rn", "doc_id", "tie", then["doc_id"].alias("next_id"), then["tie"].alias("next_tie"), "text", made.alias("edited"))
 
 
 def _keys(fp: Column, radius: int) -> list[Column]:
@@ -152,10 +174,10 @@ def compare(docs: DataFrame, radius: int = 3, every: int = QUERIES) -> DataFrame
     """
     components.shared_folder(docs.sparkSession)
     pairs = edited(docs)
-    facts = pairs.select("g", "rn", "doc_id", "tie", "next_id", "next_tie", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array("text", "edited").alias("texts"))
+    facts = pairs.select("g", "sub", "rn", "doc_id", "tie", "next_id", "next_tie", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.array("text", "edited").alias("texts"))
     keys = facts.columns[:-1]
     fps = fingerprints(facts, keys)
-    known = fps.groupBy(keys).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp")).drop("g", "rn").checkpoint()
+    known = fps.groupBy(keys).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("efp")).drop("g", "sub", "rn").checkpoint()
     after = known.groupBy(F.col("doc_id").alias("after_id"), F.col("tie").alias("next_tie")).agg(F.min("fp").alias("nfp"))
     count = known.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
     asked = known.where(F.col("doc_id") % every == 0).select("fp").distinct()

@@ -74,6 +74,22 @@ def test_rows_without_ids_spread_over_blocks(spark):
     assert rounds.in_blocks(df, 16).select("block").distinct().count() == 16
 
 
+def test_long_ranges_are_cut(spark, monkeypatch):
+    """Null and repeated ids, in parts of a range and in one piece, give the same neighbours."""
+    r = random.Random(3)
+    rows = [(r.choice([None, None, 7, 8, 300, 511, 512, 10**6, (1 << 63) - 1, -5]), f"text {i} " + " ".join(words(i, i % 9))) for i in range(300)]
+    df = documents(spark, rows)
+    kept = ["doc_id", "tie", "next_id", "next_tie", "text", "edited"]
+    whole = Counter(map(tuple, fingerprints.edited(df).select(kept).collect()))
+    monkeypatch.setattr(fingerprints, "HOT", 10)
+    cut = fingerprints.edited(df)
+    assert Counter(map(tuple, cut.select(kept).collect())) == whole
+    assert max(x["count"] for x in cut.groupBy("g", "sub").count().collect()) <= 12
+    assert len({(i, t) for i, t, *_ in whole}) == len({(i, t) for *_, i, t, _, _ in whole}) == 300
+    monkeypatch.setattr(fingerprints, "SENT", 0)
+    assert Counter(map(tuple, fingerprints.edited(df).select(kept).collect())) == whole
+
+
 def test_samples_do_not_depend_on_partitions(spark):
     rows = [(i % 40, f"text {i} " + clean_text(i)) for i in range(160)] + [(5, "x" * (labelled.SAMPLE_CHARS + 1))]
     lab = spark.createDataFrame([(i, i % 2, 0) for i in range(40)] + [(i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int")
