@@ -9,9 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pagemill.llm import tables
+from pagemill.llm import components, tables
 
 FOLDS = 5
 SAMPLE = 3000  # texts of each label, at most
@@ -37,6 +36,7 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMP
     repeated labels the largest, so the sample is the same in every run and does not
     depend on partitions.
     """
+    components.shared_folder(docs.sparkSession)
     known = _known(labels, label).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = [r for y in (0, 1) for r in known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(SPARE * per_class).collect()]
     if not chosen:
@@ -44,9 +44,13 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int = SAMP
     ids = docs.sparkSession.createDataFrame([(int(r.doc_id), r.y) for r in chosen], "doc_id long, y int")  # 2 * SPARE * per_class rows
     rows = tables.named(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = rows.where(F.length("text") <= most_chars).join(F.broadcast(ids), "doc_id")
-    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least"))
-    order = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id"))
-    got = one.withColumn("n", order).where(F.col("n") <= per_class).select("doc_id", "y", "least.text").collect()
+    one = found.groupBy("doc_id", "y").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).checkpoint()  # 2 * SPARE * per_class rows at most
+    there = sorted((r.place, r.doc_id, r.y) for r in one.select("doc_id", "y", F.xxhash64("doc_id", F.lit(3)).alias("place")).collect())
+    taken = [(i, y) for y in (0, 1) for i in [i for _, i, of in there if of == y][:per_class]]
+    if not taken:
+        return [], []
+    wanted = docs.sparkSession.createDataFrame(taken, "doc_id long, y int")
+    got = one.join(F.broadcast(wanted), ["doc_id", "y"]).select("doc_id", "y", "least.text").collect()
     got.sort(key=lambda r: r.doc_id)
     return [r.text.encode() for r in got], [r.y for r in got]
 
