@@ -9,8 +9,9 @@ toxic dictionary makes a window shorter is its gain.
 Most of a toxic text is ordinary, so the toxic dictionary is trained in rounds on
 witnesses: at first on whole toxic texts, then on the window of each that gained the
 most, and from round ``NARROW`` on those words of its three best windows without which
-they would not have gained.  Gains are always measured across halves of the sample:
-the dictionaries of one half on the texts of the other.
+they would not have gained.  Gains are always measured across halves of the sample,
+the dictionaries of one half on the texts of the other, and of such words those stay
+that gained in both.
 
 Counts and shares of windows over and under each gain, the largest gains, their mean
 and spread are weighed by a logistic calibration, fitted across the same halves; the
@@ -183,6 +184,9 @@ def _dictionaries(texts: list[str], labels: list[int], half: np.ndarray) -> list
             gain = other.of(found)
             best = [found[j] for j in np.argsort(-gain, kind="stable")[: (1 if r < NARROW else 3)].tolist() if gain[j] >= LEAST]
             samples[i] = best if r < NARROW else [x for window in best for x in _gainers(other, window)]
+        if r >= NARROW:
+            agreed = set.intersection(*({x for i in samples if half[i] == h for x in samples[i]} for h in (0, 1)))
+            samples = {i: [x for x in found if x in agreed] for i, found in samples.items()}
     return [made(0), made(1), made(2)]
 
 
