@@ -10,8 +10,8 @@ Most of a toxic text is ordinary, so the toxic dictionary is trained in rounds o
 witnesses: at first on whole toxic texts, then on the window of each that gained the
 most, and from round ``NARROW`` on those words of its three best windows without which
 they would not have gained.  Gains are always measured across halves of the sample,
-the dictionaries of one half on the texts of the other, and of such words those stay
-that gained in both.
+the dictionaries of one half on the texts of the other, and from round ``AGREED`` on
+those words stay that gained in both.
 
 Counts and shares of windows over and under each gain, the largest gains, their mean
 and spread are weighed by a logistic calibration, fitted across the same halves; the
@@ -40,8 +40,8 @@ from pagemill.llm import labelled, quality
 
 WINDOW, WITNESS = 16, 6  # words of a window when scoring, and when the toxic dictionary is trained
 ORDINARY, TOXIC = 512 << 10, 8 << 10  # bytes of the dictionaries, at most
-SPARE = 8  # bytes of sample that each byte of a dictionary needs
-ROUNDS, NARROW = 7, 3  # of training on witnesses; the first of them on windows
+SPARE = (8, 1)  # bytes of sample that each byte of either dictionary needs
+ROUNDS, NARROW, AGREED = 7, 3, 6  # of training on witnesses: windows at first, then words, then words that gain in both halves
 LEAST = 4  # bytes that a witness gains
 SHINGLE = 5
 GAINS = np.arange(1, 12)
@@ -57,9 +57,9 @@ def windows(text: str, size: int) -> list[bytes]:
     return [b" " + b" ".join(w[i : i + size]) + b" " for i in range(0, len(w), size)] or [b""]
 
 
-def trained(samples: list[bytes], most: int, segment: int) -> bytes:
+def trained(samples: list[bytes], most: int, segment: int, spare: int) -> bytes:
     """A dictionary of at most ``most`` bytes, made of segments that are frequent in the samples."""
-    size = min(most, sum(map(len, samples)) // SPARE)
+    size = min(most, sum(map(len, samples)) // spare)
     try:
         return zstandard.train_dictionary(size, samples, k=segment, d=6, f=20, split_point=1.0, accel=1).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too little text
@@ -67,11 +67,11 @@ def trained(samples: list[bytes], most: int, segment: int) -> bytes:
 
 
 def ordinary_dictionary(texts: list[str]) -> bytes:
-    return trained([t.lower().encode() for t in texts], ORDINARY, 32)
+    return trained([t.lower().encode() for t in texts], ORDINARY, 32, SPARE[0])
 
 
 def toxic_dictionary(samples: list[bytes]) -> bytes:
-    return trained(samples, TOXIC, 48)
+    return trained(samples, TOXIC, 48, SPARE[1])
 
 
 class Gains:
@@ -184,7 +184,7 @@ def _dictionaries(texts: list[str], labels: list[int], half: np.ndarray) -> list
             gain = other.of(found)
             best = [found[j] for j in np.argsort(-gain, kind="stable")[: (1 if r < NARROW else 3)].tolist() if gain[j] >= LEAST]
             samples[i] = best if r < NARROW else [x for window in best for x in _gainers(other, window)]
-        if r >= NARROW:
+        if r >= AGREED:
             agreed = set.intersection(*({x for i in samples if half[i] == h for x in samples[i]} for h in (0, 1)))
             samples = {i: [x for x in found if x in agreed] for i, found in samples.items()}
     return [made(0), made(1), made(2)]
